@@ -45,9 +45,9 @@ def event_id(col: Column) -> Column:
     return F.substring(F.md5(col), 1, 8)
 
 
-def render_template(tokens: Column) -> Column:
+def render_template(tokens: Column, joint: str = "") -> Column:
     """The tokens carry their delimiters, so plain concatenation restores the text."""
-    return F.array_join(tokens, "")
+    return F.array_join(tokens, joint)
 
 
 def lenient_template_equal(truth: Column, parsed: Column) -> Column:

@@ -84,16 +84,20 @@ def choose_leader(sigs: DataFrame, leaders: DataFrame, method: str, st: float, n
     return best.select("First", (-F.col("Best.Age")).alias("ClusterId")).unionByName(own)
 
 
-def merged_tokens(message: Column, template: Column) -> Column:
+def _outlives(token: Column, delimiters: bool) -> Column:
+    return token.rlike("(?U)" + DELIMITER_START) if delimiters else F.lit(False)
+
+
+def merged_tokens(message: Column, template: Column, delimiters: bool = True) -> Column:
     """D4 for one pair: equal tokens stay, a mismatch is a wildcard unless the newer token is a delimiter."""
     return F.zip_with(
         message,
         template,
-        lambda new, old: F.when((new == old) | new.rlike("(?U)" + DELIMITER_START), new).otherwise(WILDCARD),
+        lambda new, old: F.when((new == old) | _outlives(new, delimiters), new).otherwise(WILDCARD),
     )
 
 
-def merge_template(members: DataFrame, ws: Workspace) -> DataFrame:
+def merge_template(members: DataFrame, ws: Workspace, delimiters: bool = True) -> DataFrame:
     """D4 for whole clusters: ``(Bucket, ClusterId, Tokens, Last, n)`` from ``First, ClusterId, Tokens, Last, n``.
 
     The pairwise rule folded over all messages of a cluster depends only on two things: at which positions any
@@ -135,14 +139,20 @@ def merge_template(members: DataFrame, ws: Workspace) -> DataFrame:
     tokens = F.transform(
         "Fresh",
         lambda token, i: F.when(~F.array_contains("Varying", i), token)
-        .when(token.rlike("(?U)" + DELIMITER_START), token)
+        .when(_outlives(token, delimiters), token)
         .otherwise(WILDCARD),
     )
     return ws.table(rows.select("Bucket", "ClusterId", tokens.alias("Tokens"), "Last", "n"), "clusters")
 
 
 def mine_leaders(
-    sigs: DataFrame, method: str, st: float, n: int, ws: Workspace, refine: bool = False
+    sigs: DataFrame,
+    method: str,
+    st: float,
+    n: int,
+    ws: Workspace,
+    refine: bool = False,
+    delimiters: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(First -> ClusterId, clusters)`` for a written signature table with tokens."""
     leaders = ws.table(find_leaders(sigs, method, st, n, ws), "all-leaders")
@@ -150,11 +160,11 @@ def mine_leaders(
     members = ws.table(
         sigs.select("Bucket", "First", "Last", "n", "Tokens").join(choice, "First"), "members"
     )
-    clusters = merge_template(members, ws)
+    clusters = merge_template(members, ws, delimiters)
     mapping = members.select("First", "ClusterId")
     if refine:
         as_sigs = clusters.withColumnRenamed("ClusterId", "First")
-        again, clusters = mine_leaders(as_sigs, method, st, n, ws)
+        again, clusters = mine_leaders(as_sigs, method, st, n, ws, delimiters=delimiters)
         again = again.select(F.col("First").alias("ClusterId"), F.col("ClusterId").alias("Final"))
         mapping = mapping.join(again, "ClusterId").select("First", F.col("Final").alias("ClusterId"))
     return mapping, clusters

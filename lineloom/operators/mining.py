@@ -32,28 +32,37 @@ def mine_templates(
     refine: bool = False,
     window: int = 65_536,
     known: DataFrame | None = None,
+    delimiters: bool = True,
+    joint: str = "",
 ) -> Mining:
     """D2 (``mode='sequential'``) or D3 (``mode='leader'``) over ``LineId, Bucket, Signature``.
 
     The two differ in what a message is compared with: the template as it stands after all earlier lines, or the
     first message of the cluster.  The leader mode depends on each distinct message once and is the one for large
-    data; the sequential mode gives the line-order result exactly.
+    data; the sequential mode gives the line-order result exactly.  ``delimiters`` lets delimiter tokens outlive a
+    mismatch, ``joint`` is put between the tokens of a rendered template.
     """
     ws = Workspace(lines.sparkSession)
     sigs = ws.table(with_tokens(signature_table(lines)), "signatures")
     if mode == "leader":
-        mapping, clusters = mine_leaders(sigs, method, st, n, ws, refine)
+        mapping, clusters = mine_leaders(sigs, method, st, n, ws, refine, delimiters)
         members = sigs.select("Signature", "n", "First").join(mapping, "First").drop("First")
         key = "Signature"
     elif mode == "sequential":
-        members, clusters = mine_sequential(lines, sigs, method, st, n, ws, window, known)
+        members, clusters = mine_sequential(lines, sigs, method, st, n, ws, window, known, delimiters)
         members = members.withColumn("n", F.lit(1).cast("bigint"))
         key = "LineId"
     else:
         raise ValueError(f"mode must be 'leader' or 'sequential', not {mode!r}")
-    rendered = clusters.select("Bucket", "ClusterId", "Tokens", render_template(F.col("Tokens")).alias("EventTemplate"))
-    rendered = rendered.withColumn("EventId", event_id(F.col("EventTemplate")))
-    return Mining(members, ws.table(rendered, "rendered"), key)
+    return Mining(members, ws.table(label_clusters(clusters, joint), "rendered"), key)
+
+
+def label_clusters(clusters: DataFrame, joint: str = "") -> DataFrame:
+    """Text and id of every cluster's template."""
+    text = render_template(F.col("Tokens"), joint)
+    return clusters.select("Bucket", "ClusterId", "Tokens", text.alias("EventTemplate")).withColumn(
+        "EventId", event_id(F.col("EventTemplate"))
+    )
 
 
 def assign_templates(lines: DataFrame, mining: Mining, extra: DataFrame | None = None) -> DataFrame:

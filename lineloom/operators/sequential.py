@@ -33,7 +33,8 @@ _DELIMITER = re.compile(DELIMITER_START)
 class Replay:
     """The templates of one bucket, and the rule that takes in the next message."""
 
-    def __init__(self, clusters, method: str, st: float, n: int):
+    def __init__(self, clusters, method: str, st: float, n: int, delimiters: bool = True):
+        self.delimiters = delimiters
         self.clusters: list[list] = [[cid, tuple(tokens)] for cid, tokens in sorted(clusters)]
         self.measure = (method, n)
         self.st = st
@@ -55,7 +56,8 @@ class Replay:
             self._version += 1
             return line_id
         merged = tuple(
-            new if new == old or _DELIMITER.match(new) else WILDCARD for new, old in zip(tokens, home[1])
+            new if new == old or (self.delimiters and _DELIMITER.match(new)) else WILDCARD
+            for new, old in zip(tokens, home[1])
         )
         if " ".join(merged) != " ".join(home[1]):
             home[1] = merged
@@ -65,10 +67,10 @@ class Replay:
         return home[0]
 
 
-def _replay_window(method: str, st: float, n: int):
+def _replay_window(method: str, st: float, n: int, delimiters: bool):
     def run(lines: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         bucket = lines["Bucket"].iloc[0]
-        replay = Replay(zip(known["ClusterId"], known["Tokens"]), method, st, n)
+        replay = Replay(zip(known["ClusterId"], known["Tokens"]), method, st, n, delimiters)
         lines = lines.sort_values("LineId")
         homes = [
             replay.take(line_id, tuple(signature.split(SEP)) if signature else ())
@@ -95,6 +97,7 @@ def mine_sequential(
     ws: Workspace,
     window: int = 65_536,
     known: DataFrame | None = None,
+    delimiters: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(LineId -> ClusterId, clusters)``; ``known`` holds templates of earlier lines (``CLUSTER_SCHEMA``).
 
@@ -133,7 +136,7 @@ def mine_sequential(
         active = sigs.join(frontier, "Bucket").where(F.col("Last") >= F.col("At"))
         best = best_match(active, state, method, st, n).select("First", "ClusterId")
         texts = state.select("ClusterId", F.col("Tokens").alias("Known"))
-        merged = merged_tokens(F.col("Tokens"), F.col("Known"))
+        merged = merged_tokens(F.col("Tokens"), F.col("Known"), delimiters)
         changes = F.col("ClusterId").isNull() | (F.array_join(merged, " ") != F.array_join("Known", " "))
         behaviour = ws.table(
             active.join(best, "First", "left").join(texts, "ClusterId", "left").select(
@@ -164,7 +167,7 @@ def mine_sequential(
             stretch.select("Bucket", "LineId", "Signature").groupBy("Bucket")
             .cogroup(state.join(turn.select("Bucket"), "Bucket", "left_semi").groupBy("Bucket"))
             .applyInPandas(
-                _replay_window(method, st, n),
+                _replay_window(method, st, n, delimiters),
                 "Bucket string, LineId bigint, ClusterId bigint, Tokens array<string>",
             ),
             "replayed",

@@ -95,3 +95,12 @@ def compare_join(
         return spread_join(many, F.broadcast(few), [bucket], None, spread, how, condition)
     counts = many.groupBy(bucket).agg(F.count(F.lit(1)).alias("rows"))
     return spread_join(many, few, [bucket], hot_keys(counts, [bucket], "rows", 10_000), spread, how, condition)
+
+
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Deal a source that arrives in fewer splits than there are cores (one big row group, say) over all of them.
+
+    A source with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
