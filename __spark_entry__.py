@@ -416,7 +416,7 @@ def d4(spark, sf_dir):
     kind = F.element_at("Tokens", 1)
     oldest = sigs.groupBy(kind.alias("kind")).agg(F.min("First").alias("ClusterId"))
     members = sigs.withColumn("kind", kind).join(oldest, "kind").drop("kind")
-    merged = merge_template(ws.table(members, "members"), ws)
+    merged = merge_template(ws.table(members, "members"))
     return merged.select(text.render_template(F.col("Tokens")).alias("EventTemplate"), "n", "Last")
 
 

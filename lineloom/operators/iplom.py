@@ -109,7 +109,7 @@ def mine_iplom(messages: DataFrame, lower: float = 0.25, masks: Sequence[str] =
     parts = ws.table(_by_mapping(parts, lower, ws), "by-mapping")
     oldest = parts.groupBy("Part").agg(F.min("First").alias("ClusterId"))
     members = ws.table(_with_part_info(parts, oldest, "inner").drop("Part"), "members")
-    clusters = merge_template(members, ws, delimiters=False)
+    clusters = merge_template(members, delimiters=False)
     return Mining(
         members.select("Signature", "n", "ClusterId"), ws.table(label_clusters(clusters, " "), "rendered"), "Signature"
     )

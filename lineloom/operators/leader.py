@@ -58,7 +58,7 @@ def find_leaders(sigs: DataFrame, method: str, st: float, n: int, ws: Workspace)
         found.append(fresh)
         pool = ws.table(_undecided(pool, fresh, method, st, n), "undecided")
         if pool.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            return fresh if len(found) == 1 else ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
         heads = min(2 * heads, _MOST_HEADS)
 
 
@@ -97,7 +97,7 @@ def merged_tokens(message: Column, template: Column, delimiters: bool = True) ->
     )
 
 
-def merge_template(members: DataFrame, ws: Workspace, delimiters: bool = True) -> DataFrame:
+def merge_template(members: DataFrame, delimiters: bool = True) -> DataFrame:
     """D4 for whole clusters: ``(Bucket, ClusterId, Tokens, Last, n)`` from ``First, ClusterId, Tokens, Last, n``.
 
     The pairwise rule folded over all messages of a cluster depends only on two things: at which positions any
@@ -111,7 +111,6 @@ def merge_template(members: DataFrame, ws: Workspace, delimiters: bool = True) -
         F.max_by("First", "Last").alias("Newest"), F.max("Last").alias("Last"), F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("size"),
     )
-    newest = ws.table(newest, "newest")
     followers = members.where(F.col("First") != F.col("ClusterId")).select("First", "ClusterId", "Tokens")
     hot = hot_keys(newest, ["ClusterId"], "size", 10_000)
     varying = (
@@ -142,7 +141,7 @@ def merge_template(members: DataFrame, ws: Workspace, delimiters: bool = True) -
         .when(_outlives(token, delimiters), token)
         .otherwise(WILDCARD),
     )
-    return ws.table(rows.select("Bucket", "ClusterId", tokens.alias("Tokens"), "Last", "n"), "clusters")
+    return rows.select("Bucket", "ClusterId", tokens.alias("Tokens"), "Last", "n")
 
 
 def mine_leaders(
@@ -155,15 +154,15 @@ def mine_leaders(
     delimiters: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``(First -> ClusterId, clusters)`` for a written signature table with tokens."""
-    leaders = ws.table(find_leaders(sigs, method, st, n, ws), "all-leaders")
+    leaders = find_leaders(sigs, method, st, n, ws)
     choice = choose_leader(sigs, leaders, method, st, n)
     members = ws.table(
         sigs.select("Bucket", "First", "Last", "n", "Tokens").join(choice, "First"), "members"
     )
-    clusters = merge_template(members, ws, delimiters)
+    clusters = merge_template(members, delimiters)
     mapping = members.select("First", "ClusterId")
     if refine:
-        as_sigs = clusters.withColumnRenamed("ClusterId", "First")
+        as_sigs = ws.table(clusters.withColumnRenamed("ClusterId", "First"), "templates")
         again, clusters = mine_leaders(as_sigs, method, st, n, ws, delimiters=delimiters)
         again = again.select(F.col("First").alias("ClusterId"), F.col("ClusterId").alias("Final"))
         mapping = mapping.join(again, "ClusterId").select("First", F.col("Final").alias("ClusterId"))

@@ -109,79 +109,86 @@ def mine_sequential(
         spread_join(
             lines.select("Bucket", "LineId", "Signature"), sigs.select("Signature", "First"), ["Signature"], hot,
             "LineId",
-        ).select("Bucket", "LineId", F.col("First").alias("Sig")),
+        ),
         "line-signatures",
     )
-    hot_ids = hot_keys(sigs, ["First"], "n")
-    sig_text = sigs.select(F.col("First").alias("Sig"), "Signature")
+    # from here on a signature is known by its first line
+    hot = None if hot is None else hot_keys(sigs, ["First"], "n")
     state = ws.table(known, "known") if known is not None else spark.createDataFrame([], CLUSTER_SCHEMA)
-    frontier = ws.table(sigs.groupBy("Bucket").agg(F.min("First").alias("At")), "frontier")
-    taken: list[str] = []
-
-    def keep(df: DataFrame, name: str) -> None:
-        path = ws.path(name)
-        df.select("LineId", "ClusterId").write.parquet(path)
-        taken.append(path)
-
-    def by_signature(df: DataFrame, table: DataFrame) -> DataFrame:
-        split = None if hot_ids is None else hot_ids
-        renamed = df.withColumnRenamed("Sig", "First")
-        return spread_join(renamed, table.withColumnRenamed("Sig", "First"), ["First"], split, "LineId")
-
+    frontier = sigs.groupBy("Bucket").agg(F.min("First").alias("At"))
+    paths: list[str] = []
+
+    def attach(df: DataFrame, table: DataFrame) -> DataFrame:
+        return spread_join(df, table, ["First"], hot, "LineId")
+
+    if known is None:
+        # nothing is known yet, so the first line of every bucket is the first to change something
+        turn = ws.table(frontier.withColumnRenamed("At", "Next"), "turning-points")
+        ahead = ids
+    else:
+        turn, ahead = _skip(ids, sigs, state, frontier, (method, st, n, delimiters), attach, ws, paths)
     while True:
-        low = frontier.agg(F.min("At")).first()[0]
+        low = turn.agg(F.min("Next")).first()[0]
         if low is None:
             break
-        ahead = ids.where(F.col("LineId") >= low).join(frontier, "Bucket").where(F.col("LineId") >= F.col("At"))
-        active = sigs.join(frontier, "Bucket").where(F.col("Last") >= F.col("At"))
-        best = best_match(active, state, method, st, n).select("First", "ClusterId")
-        texts = state.select("ClusterId", F.col("Tokens").alias("Known"))
-        merged = merged_tokens(F.col("Tokens"), F.col("Known"), delimiters)
-        changes = F.col("ClusterId").isNull() | (F.array_join(merged, " ") != F.array_join("Known", " "))
-        behaviour = ws.table(
-            active.join(best, "First", "left").join(texts, "ClusterId", "left").select(
-                F.col("First").alias("Sig"), "Bucket", "At", "ClusterId", changes.alias("Changes")
-            ),
-            "behaviour",
-        )
-        changing = behaviour.where("Changes")
-        fresh = changing.where(F.col("Sig") >= F.col("At")).groupBy("Bucket").agg(F.min("Sig").alias("Next"))
-        again = changing.where(F.col("Sig") < F.col("At")).select("Sig")
-        later = by_signature(ahead, again).groupBy("Bucket").agg(F.min("LineId").alias("Next"))
-        turn = ws.table(
-            fresh.unionByName(later).groupBy("Bucket").agg(F.min("Next").alias("Next")), "turning-points"
-        )
-
-        quiet = ahead.join(turn, "Bucket", "left").where(
-            F.col("Next").isNull() | (F.col("LineId") < F.col("Next"))
-        )
-        keep(by_signature(quiet.select("LineId", "Sig"), behaviour.select("Sig", "ClusterId")), "quiet")
-        if turn.isEmpty():
-            break
-
         stretch = ahead.join(turn, "Bucket").where(
             (F.col("LineId") >= F.col("Next")) & (F.col("LineId") < F.col("Next") + window)
         )
-        stretch = by_signature(stretch.select("Bucket", "LineId", "Sig"), sig_text)
-        replayed = ws.table(
-            stretch.select("Bucket", "LineId", "Signature").groupBy("Bucket")
-            .cogroup(state.join(turn.select("Bucket"), "Bucket", "left_semi").groupBy("Bucket"))
-            .applyInPandas(
-                _replay_window(method, st, n, delimiters),
-                "Bucket string, LineId bigint, ClusterId bigint, Tokens array<string>",
-            ),
-            "replayed",
+        stretch = attach(stretch.select("Bucket", "LineId", "First"), sigs.select("First", "Signature"))
+        replayed = stretch.groupBy("Bucket").cogroup(
+            state.join(turn.select("Bucket"), "Bucket", "left_semi").groupBy("Bucket")
+        ).applyInPandas(
+            _replay_window(method, st, n, delimiters),
+            "Bucket string, LineId bigint, ClusterId bigint, Tokens array<string>",
         )
-        keep(replayed.where(F.col("LineId").isNotNull()), "replayed-lines")
+        paths.append(ws.path("replayed"))
+        replayed.write.parquet(paths[-1])
+        replayed = spark.read.schema(replayed.schema).parquet(paths[-1])
         state = ws.table(
             state.join(turn.select("Bucket"), "Bucket", "left_anti").unionByName(
                 replayed.where(F.col("LineId").isNull()).select("Bucket", "ClusterId", "Tokens")
             ),
             "state",
         )
-        frontier = ws.table(turn.select("Bucket", (F.col("Next") + window).alias("At")), "frontier")
+        frontier = turn.select("Bucket", (F.col("Next") + window).alias("At"))
+        ahead = ids.where(F.col("LineId") >= low + window)
+        turn, ahead = _skip(ahead, sigs, state, frontier, (method, st, n, delimiters), attach, ws, paths)
+
+    members = spark.read.schema("LineId bigint, ClusterId bigint").parquet(*paths)
+    return members.where(F.col("LineId").isNotNull()), state
+
 
-    members = spark.read.schema("LineId bigint, ClusterId bigint").parquet(*taken) if taken else (
-        spark.createDataFrame([], "LineId bigint, ClusterId bigint")
+def _skip(
+    ids: DataFrame, sigs: DataFrame, state: DataFrame, frontier: DataFrame, measure: tuple, attach, ws: Workspace,
+    paths: list[str],
+) -> tuple[DataFrame, DataFrame]:
+    """Assign, in every bucket, the lines from the frontier up to the next one that changes a template.
+
+    Returns the turning points ``Bucket, Next`` (none for a bucket that is done) and the lines from the frontier on.
+    """
+    method, st, n, delimiters = measure
+    ahead = ids.join(frontier, "Bucket").where(F.col("LineId") >= F.col("At"))
+    active = sigs.join(frontier, "Bucket").where(F.col("Last") >= F.col("At"))
+    best = best_match(active, state, method, st, n).select("First", "ClusterId")
+    texts = state.select("ClusterId", F.col("Tokens").alias("Known"))
+    merged = merged_tokens(F.col("Tokens"), F.col("Known"), delimiters)
+    changes = F.col("ClusterId").isNull() | (F.array_join(merged, " ") != F.array_join("Known", " "))
+    behaviour = ws.table(
+        active.join(best, "First", "left").join(texts, "ClusterId", "left").select(
+            "First", "Bucket", "At", "ClusterId", changes.alias("Changes")
+        ),
+        "behaviour",
+    )
+    changing = behaviour.where("Changes")
+    fresh = changing.where(F.col("First") >= F.col("At")).groupBy("Bucket").agg(F.min("First").alias("Next"))
+    again = changing.where(F.col("First") < F.col("At")).select("First")
+    later = attach(ahead, again).groupBy("Bucket").agg(F.min("LineId").alias("Next"))
+    turn = ws.table(
+        fresh.unionByName(later).groupBy("Bucket").agg(F.min("Next").alias("Next")), "turning-points"
     )
-    return members, state
+    quiet = ahead.join(turn, "Bucket", "left").where(F.col("Next").isNull() | (F.col("LineId") < F.col("Next")))
+    paths.append(ws.path("quiet"))
+    attach(quiet.select("LineId", "First"), behaviour.select("First", "ClusterId")).select(
+        "LineId", "ClusterId"
+    ).write.parquet(paths[-1])
+    return turn, ahead.drop("At")

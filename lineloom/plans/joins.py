@@ -22,14 +22,16 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], weight: str, hot_rows: int
     """
     spark = counts.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = counts.agg(F.sum(weight)).first()[0] or 0
-    share = max(total // tasks, hot_rows)
+    total, largest = counts.agg(F.sum(weight), F.max(weight)).first()
+    share = max((total or 0) // tasks, hot_rows)
+    if (largest or 0) <= share:
+        return None
     hot = (
         counts.groupBy(F.xxhash64(*keys).alias("__hash")).agg(F.sum(weight).alias("n"))
         .where(F.col("n") > share)
         .select("__hash", F.ceil(F.col("n") / share).cast("int").alias("__copies"))
     )
-    return None if hot.isEmpty() else hot
+    return hot
 
 
 def spread_join(
