@@ -39,9 +39,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.coalesce(grams, F.array().cast("array<string>"))
 
 
-def ngram_bound(template: Column, message: Column, n: int) -> Column:
-    """An upper bound of C2 from n-gram membership alone; cheap, and runs in the JVM."""
-    a, b = ngrams(template, n), ngrams(message, n)
+def ngram_bound(template_grams: Column, message_grams: Column) -> Column:
+    """An upper bound of C2 from n-gram membership alone; cheap, and runs in the JVM.
+
+    Pass columns that hold ``ngrams``, not the expressions: each is read once per n-gram of the other.
+    """
+    a, b = template_grams, message_grams
     common = F.least(
         F.size(F.filter(a, lambda g: F.array_contains(b, g))),
         F.size(F.filter(b, lambda g: F.array_contains(a, g))),

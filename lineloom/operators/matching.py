@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lineloom.functions.similarity import (
-    native_similarity, needs_ngrams, ngram_bound, ngram_similarity,
+    native_similarity, needs_ngrams, ngram_bound, ngram_similarity, ngrams,
 )
 from lineloom.operators.messages import signature_table, with_tokens
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
@@ -25,7 +25,9 @@ def similar_pairs(
     native = native_similarity(method, t, m)
     reach = native >= st
     if needs_ngrams(method):
-        reach = reach | (ngram_bound(t, m, n) >= st)
+        many = many.withColumn("Grams", ngrams(F.col("Tokens"), n))
+        few = few.withColumn("KnownGrams", ngrams(F.col("Known"), n))
+        reach = reach | (ngram_bound(F.col("few.KnownGrams"), F.col("many.Grams")) >= st)
     both_empty = (F.size(t) == 0) & (F.size(m) == 0)
     condition = reach | both_empty
     if extra is not None:
@@ -38,10 +40,12 @@ def score_pairs(pairs: DataFrame, method: str, st: float, n: int) -> DataFrame:
     score = F.when(F.size(t) == 0, F.lit(1.0)).otherwise(native_similarity(method, t, m))
     pairs = pairs.withColumn("Score", score)
     if needs_ngrams(method):
-        bound = ngram_bound(t, m, n)
-        ask = (bound >= st) & (bound > F.col("Score"))
+        pairs = pairs.withColumn("Bound", ngram_bound(F.col("KnownGrams"), F.col("Grams")))
+        ask = (F.col("Bound") >= st) & (F.col("Bound") > F.col("Score"))
         ratio = F.coalesce(ngram_similarity(F.when(ask, t), F.when(ask, m), n), F.lit(0.0))
-        pairs = pairs.withColumn("Ratio", ratio).withColumn("Score", F.greatest("Score", "Ratio")).drop("Ratio")
+        pairs = pairs.withColumn("Ratio", ratio).withColumn("Score", F.greatest("Score", "Ratio")).drop(
+            "Ratio", "Bound", "Grams", "KnownGrams"
+        )
     return pairs.where(F.col("Score") >= st)
 
 

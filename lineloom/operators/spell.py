@@ -31,20 +31,24 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def alignment(lead: Sequence[str], message: Sequence[str]) -> list[int]:
+def alignment(lead: Sequence[str], weights: Sequence[int], message: Sequence[str]) -> list[int]:
     """What the message changes in the leader: ``i`` for a leader token it lacks, ``-1 - i`` for extra tokens of its
-    own before leader token ``i``."""
+    own before leader token ``i``.
+
+    Among longest common subsequences, the one with the largest sum of ``weights`` is taken.
+    """
     a, b = len(lead), len(message)
+    unit = sum(weights) + 1
     best = [[0] * (b + 1) for _ in range(a + 1)]
     for i in range(a - 1, -1, -1):
         for j in range(b - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1])
             if lead[i] == message[j]:
-                best[i][j] = best[i + 1][j + 1] + 1
-            else:
-                best[i][j] = max(best[i + 1][j], best[i][j + 1])
+                best[i][j] = max(best[i][j], best[i + 1][j + 1] + unit + weights[i])
     marks, i, j = [], 0, 0
     while i < a or j < b:
-        if i < a and j < b and lead[i] == message[j]:
+        hit = i < a and j < b and lead[i] == message[j]
+        if hit and best[i][j] == best[i + 1][j + 1] + unit + weights[i]:
             i, j = i + 1, j + 1
         elif i < a and (j == b or best[i + 1][j] >= best[i][j + 1]):
             marks.append(i)
@@ -62,8 +66,10 @@ def _shared(lead: pd.Series, tokens: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf("array<int>")
-def _marks(lead: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([alignment(list(a), list(b)) for a, b in zip(lead, tokens)])
+def _marks(lead: pd.Series, weights: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series(
+        [alignment(list(a), [int(x) for x in w], list(b)) for a, w, b in zip(lead, weights, tokens)]
+    )
 
 
 def _pairs(many: DataFrame, leaders: DataFrame, tau: float) -> DataFrame:
@@ -120,14 +126,23 @@ def mine_spell(messages: DataFrame, tau: float = 0.5, masks: Sequence[str] = ())
     choice = best.select("First", (-F.col("Best.Age")).alias("ClusterId")).unionByName(own)
     members = ws.table(sigs.select("First", "n", "Signature", "Tokens").join(choice, "First"), "members")
 
-    sizes = members.groupBy("ClusterId").agg(F.count(F.lit(1)).alias("rows"))
+    hot = hot_keys(members.groupBy("ClusterId").agg(F.count(F.lit(1)).alias("rows")), ["ClusterId"], "rows", 10_000)
     lead = leaders.select("ClusterId", F.col("Tokens").alias("Lead"))
-    followers = spread_join(
-        members.where(F.col("First") != F.col("ClusterId")).select("First", "ClusterId", "Tokens"), lead,
-        ["ClusterId"], hot_keys(sizes, ["ClusterId"], "rows", 10_000), "First",
+    followers = members.where(F.col("First") != F.col("ClusterId")).select("First", "ClusterId", "Tokens")
+    # how many followers hold each leader word: where two alignments are equally long, the common words win
+    held = F.posexplode(F.transform("Lead", lambda t: F.array_contains("Tokens", t))).alias("Pos", "Held")
+    support = (
+        spread_join(followers, lead, ["ClusterId"], hot, "First").select("ClusterId", held).where("Held")
+        .groupBy("ClusterId", "Pos").agg(F.count(F.lit(1)).alias("Followers"))
+        .groupBy("ClusterId").agg(F.map_from_entries(F.collect_list(F.struct("Pos", "Followers"))).alias("Support"))
+    )
+    weights = F.transform("Lead", lambda t, i: F.coalesce(F.try_element_at("Support", i), F.lit(0).cast("bigint")))
+    weighed = ws.table(
+        lead.join(support, "ClusterId", "left").select("ClusterId", "Lead", weights.alias("Weights")), "weighed"
     )
+    followers = spread_join(followers, weighed, ["ClusterId"], hot, "First")
     marks = (
-        followers.select("ClusterId", F.explode(_marks("Lead", "Tokens")).alias("Mark")).distinct()
+        followers.select("ClusterId", F.explode(_marks("Lead", "Weights", "Tokens")).alias("Mark")).distinct()
         .groupBy("ClusterId").agg(F.collect_list("Mark").alias("Marks"))
     )
     marked = lead.join(marks, "ClusterId", "left").withColumn(

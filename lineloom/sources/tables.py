@@ -14,6 +14,7 @@ from lineloom.functions.correction import correct_templates
 STRUCTURED_SUFFIX = "_2k.log_structured.csv"
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+_EMPTY = "\u0002"
 # the writer would trim fields by default
 _CSV_OUT = {
     "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
@@ -21,9 +22,13 @@ _CSV_OUT = {
 
 
 def _read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None) -> DataFrame:
-    reader = spark.read.options(**_CSV)
+    # a quoted empty field is an empty string, an unquoted one is NULL; the reader alone would make both NULL
+    reader = spark.read.options(**_CSV, emptyValue=_EMPTY)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", False)
-    return reader.csv(path if isinstance(path, str) else list(path))
+    df = reader.csv(path if isinstance(path, str) else list(path))
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    return df.withColumns({name: F.when(F.col(f"`{name}`") != _EMPTY, F.col(f"`{name}`")).when(
+        F.col(f"`{name}`").isNotNull(), F.lit("")) for name in texts})
 
 
 def read_structured_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
