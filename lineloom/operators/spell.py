@@ -7,6 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lineloom.functions.masking import WILDCARD
 from lineloom.operators.mining import Mining, label_clusters
@@ -60,12 +61,12 @@ def alignment(lead: Sequence[str], weights: Sequence[int], message: Sequence[str
     return marks
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _shared(lead: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(a), list(b)) for a, b in zip(lead, tokens)], dtype="int32")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _marks(lead: pd.Series, weights: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series(
         [alignment(list(a), [int(x) for x in w], list(b)) for a, w, b in zip(lead, weights, tokens)]
