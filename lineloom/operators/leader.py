@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lineloom.functions.masking import WILDCARD
-from lineloom.functions.similarity import native_similarity, needs_ngrams, pair_similarity
-from lineloom.operators.matching import similar_pairs
+from lineloom.functions.similarity import needs_ngrams, pair_similarity
+from lineloom.operators.matching import best_pairs, comparison, similar_pairs
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
 from lineloom.workspace import Workspace
 
@@ -56,7 +56,7 @@ def find_leaders(sigs: DataFrame, method: str, st: float, n: int, ws: Workspace)
             "leaders",
         )
         found.append(fresh)
-        pool = ws.table(_undecided(pool, fresh, method, st, n), "undecided")
+        pool = ws.table(_undecided(pool, fresh, method, st, n), "undecided", "First")
         if pool.isEmpty():
             return fresh if len(found) == 1 else ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
         heads = min(2 * heads, _MOST_HEADS)
@@ -68,8 +68,8 @@ def _undecided(pool: DataFrame, fresh: DataFrame, method: str, st: float, n: int
     if needs_ngrams(method):
         hits = similar_pairs(rest, fresh, method, st, n).select("First").distinct()
         return rest.join(hits, "First", "left_anti")
-    similar = native_similarity(method, F.col("few.Tokens"), F.col("many.Tokens")) >= st
-    return compare_join(rest, fresh, "Bucket", similar, "left_anti")
+    keyed, known, similar = comparison(rest, fresh, method, st, n)
+    return compare_join(keyed, known, "Bucket", similar, "left_anti", text="Known").select(*rest.columns)
 
 
 def choose_leader(sigs: DataFrame, leaders: DataFrame, method: str, st: float, n: int) -> DataFrame:
@@ -79,9 +79,8 @@ def choose_leader(sigs: DataFrame, leaders: DataFrame, method: str, st: float, n
         others.select("Bucket", "First", "Tokens"), leaders, method, st, n,
         extra=F.col("few.ClusterId") < F.col("many.First"),
     )
-    best = pairs.groupBy("First").agg(F.max(F.struct("Score", (-F.col("ClusterId")).alias("Age"))).alias("Best"))
     own = leaders.select(F.col("ClusterId").alias("First"), "ClusterId")
-    return best.select("First", (-F.col("Best.Age")).alias("ClusterId")).unionByName(own)
+    return best_pairs(pairs).select("First", "ClusterId").unionByName(own)
 
 
 def _outlives(token: Column, delimiters: bool) -> Column:
@@ -157,7 +156,7 @@ def mine_leaders(
     leaders = find_leaders(sigs, method, st, n, ws)
     choice = choose_leader(sigs, leaders, method, st, n)
     members = ws.table(
-        sigs.select("Bucket", "First", "Last", "n", "Tokens").join(choice, "First"), "members"
+        sigs.select("Bucket", "First", "Last", "n", "Tokens").join(choice, "First"), "members", "First"
     )
     clusters = merge_template(members, delimiters)
     mapping = members.select("First", "ClusterId")

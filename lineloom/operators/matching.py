@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lineloom.functions.similarity import (
-    native_similarity, needs_ngrams, ngram_bound, ngram_similarity, ngrams,
+    may_reach, native_similarity, needs_ngrams, ngram_bound, ngram_similarity, ngrams, position_keys,
 )
 from lineloom.operators.messages import signature_table, with_tokens
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
@@ -20,19 +20,31 @@ def similar_pairs(
     ``few`` has ``Bucket, ClusterId, Tokens``.  What the JVM can compute is computed there; an n-gram ratio is asked for
     only where its upper bound reaches ``st`` and exceeds the other measures, since elsewhere it changes nothing.
     """
+    many, few, reach = comparison(many, few, method, st, n)
+    t, m = F.col("few.Known"), F.col("many.Tokens")
+    condition = F.when(F.size(t) == 0, F.size(m) == 0).otherwise(reach)
+    if extra is not None:
+        condition = extra & condition  # the cheap part first
+    return score_pairs(compare_join(many, few, "Bucket", condition, "inner", spread, "Known"), method, st, n)
+
+
+def comparison(
+    many: DataFrame, few: DataFrame, method: str, st: float, n: int
+) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with the helper columns of ``method`` (``Tokens`` of ``few`` becomes ``Known``), and the condition
+    that every pair at ``st`` or above meets; for methods without n-grams it holds for no other pair."""
     few = few.withColumnRenamed("Tokens", "Known")
     t, m = F.col("few.Known"), F.col("many.Tokens")
-    native = native_similarity(method, t, m)
-    reach = native >= st
+    reach = native_similarity(method, t, m) >= st
+    if method == "seqDist":
+        many = many.withColumn("Keys", position_keys(F.col("Tokens")))
+        few = few.withColumn("KnownKeys", position_keys(F.col("Known")))
+        reach = may_reach(F.col("few.KnownKeys"), F.col("many.Keys"), F.size(t), st) & reach
     if needs_ngrams(method):
         many = many.withColumn("Grams", ngrams(F.col("Tokens"), n))
         few = few.withColumn("KnownGrams", ngrams(F.col("Known"), n))
         reach = reach | (ngram_bound(F.col("few.KnownGrams"), F.col("many.Grams")) >= st)
-    both_empty = (F.size(t) == 0) & (F.size(m) == 0)
-    condition = reach | both_empty
-    if extra is not None:
-        condition = condition & extra
-    return score_pairs(compare_join(many, few, "Bucket", condition, "inner", spread, "Known"), method, st, n)
+    return many, few, reach
 
 
 def score_pairs(pairs: DataFrame, method: str, st: float, n: int) -> DataFrame:
@@ -44,17 +56,24 @@ def score_pairs(pairs: DataFrame, method: str, st: float, n: int) -> DataFrame:
         ask = (F.col("Bound") >= st) & (F.col("Bound") > F.col("Score"))
         ratio = F.coalesce(ngram_similarity(F.when(ask, t), F.when(ask, m), n), F.lit(0.0))
         pairs = pairs.withColumn("Ratio", ratio).withColumn("Score", F.greatest("Score", "Ratio")).drop(
-            "Ratio", "Bound", "Grams", "KnownGrams"
-        )
-    return pairs.where(F.col("Score") >= st)
+            "Ratio", "Bound"
+        ).where(F.col("Score") >= st)
+    # without n-grams the join condition was exact; a filter here would be pushed in front of its cheap parts
+    return pairs.drop("Grams", "KnownGrams", "Keys", "KnownKeys")
 
 
 def best_match(sigs: DataFrame, known: DataFrame, method: str, st: float, n: int) -> DataFrame:
     """``(First, ClusterId, Score)``: highest similarity, the oldest cluster on ties.  Unmatched rows are absent."""
-    pairs = similar_pairs(sigs.select("Bucket", "First", "Tokens"), known, method, st, n)
-    return pairs.groupBy("First").agg(
-        F.max(F.struct("Score", (-F.col("ClusterId")).alias("Age"))).alias("Best")
-    ).select("First", (-F.col("Best.Age")).alias("ClusterId"), F.col("Best.Score").alias("Score"))
+    return best_pairs(similar_pairs(sigs.select("Bucket", "First", "Tokens"), known, method, st, n))
+
+
+def best_pairs(pairs: DataFrame, score: str = "Score") -> DataFrame:
+    """Per ``First`` the pair with the highest score, and of those the smallest ``ClusterId``.
+
+    Two steps over plain numbers stay hash aggregates; a maximum over a struct would sort all pairs.
+    """
+    oldest = pairs.groupBy("First", score).agg(F.min("ClusterId").alias("ClusterId"))
+    return oldest.groupBy("First").agg(F.max_by("ClusterId", score).alias("ClusterId"), F.max(score).alias(score))
 
 
 def match_templates(
@@ -66,7 +85,7 @@ def match_templates(
     compared, not lines.
     """
     ws = Workspace(lines.sparkSession)
-    sigs = ws.table(with_tokens(signature_table(lines)), "signatures")
+    sigs = ws.table(with_tokens(signature_table(lines)), "signatures", "First")
     best = best_match(sigs, templates, method, st, n)
     table = ws.table(sigs.join(best, "First", "left").select("Signature", "n", "ClusterId", "Score"), "matches")
     hot = hot_keys(table, ["Signature"], "n")

@@ -43,7 +43,7 @@ def mine_templates(
     mismatch, ``joint`` is put between the tokens of a rendered template.
     """
     ws = Workspace(lines.sparkSession)
-    sigs = ws.table(with_tokens(signature_table(lines)), "signatures")
+    sigs = ws.table(with_tokens(signature_table(lines)), "signatures", "First")
     if mode == "leader":
         mapping, clusters = mine_leaders(sigs, method, st, n, ws, refine, delimiters)
         members = sigs.select("Signature", "n", "First").join(mapping, "First").drop("First")

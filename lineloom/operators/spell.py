@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from lineloom.functions.masking import WILDCARD
+from lineloom.operators.matching import best_pairs
 from lineloom.operators.mining import Mining, label_clusters
 from lineloom.operators.words import distinct_messages, word_lines
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
@@ -109,7 +110,7 @@ def _leaders(sigs: DataFrame, tau: float, ws: Workspace) -> DataFrame:
         found.append(fresh)
         rest = pool.join(fresh.select(F.col("ClusterId").alias("First")), "First", "left_anti")
         hits = _pairs(rest, fresh, tau).select("First").distinct()
-        pool = ws.table(rest.join(hits, "First", "left_anti"), "undecided")
+        pool = ws.table(rest.join(hits, "First", "left_anti"), "undecided", "First")
         heads = min(2 * heads, _MOST_HEADS)
     return ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
 
@@ -121,11 +122,9 @@ def mine_spell(messages: DataFrame, tau: float = 0.5, masks: Sequence[str] = ())
     leaders = _leaders(sigs, tau, ws)
     own = leaders.select(F.col("ClusterId").alias("First"), "ClusterId")
     others = sigs.select(F.lit("").alias("Bucket"), "First", "Tokens").join(own.select("First"), "First", "left_anti")
-    best = _pairs(others, leaders, tau).groupBy("First").agg(
-        F.max(F.struct("Shared", (-F.col("ClusterId")).alias("Age"))).alias("Best")
-    )
-    choice = best.select("First", (-F.col("Best.Age")).alias("ClusterId")).unionByName(own)
-    members = ws.table(sigs.select("First", "n", "Signature", "Tokens").join(choice, "First"), "members")
+    best = best_pairs(_pairs(others, leaders, tau), "Shared")
+    choice = best.select("First", "ClusterId").unionByName(own)
+    members = ws.table(sigs.select("First", "n", "Signature", "Tokens").join(choice, "First"), "members", "First")
 
     hot = hot_keys(members.groupBy("ClusterId").agg(F.count(F.lit(1)).alias("rows")), ["ClusterId"], "rows", 10_000)
     lead = leaders.select("ClusterId", F.col("Tokens").alias("Lead"))

@@ -20,4 +20,4 @@ def word_lines(messages: DataFrame, masks: Sequence[str] = (), column: str = "Co
 
 def distinct_messages(lines: DataFrame, ws: Workspace) -> DataFrame:
     """The written signature table with tokens."""
-    return ws.table(with_tokens(signature_table(lines)), "distinct-messages")
+    return ws.table(with_tokens(signature_table(lines)), "distinct-messages", "First")
