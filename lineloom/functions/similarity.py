@@ -22,28 +22,6 @@ def position_similarity(template: Column, message: Column) -> Column:
     return F.try_divide(positional_matches(template, message).cast("double"), F.size(template).cast("double"))
 
 
-_MOST_KEYED = 1024
-
-
-def position_keys(tokens: Column) -> Column:
-    """One integer per token that is no wildcard: a hash of the token above its position."""
-    keys = F.transform(
-        tokens,
-        lambda t, i: F.when(t != WILDCARD, F.shiftleft(F.xxhash64(t), 10).bitwiseOR(i.cast("bigint"))),
-    )
-    return F.array_compact(F.when(F.size(tokens) <= _MOST_KEYED, keys))
-
-
-def may_reach(template_keys: Column, message_keys: Column, length: Column, st: float) -> Column:
-    """A necessary condition for C1 >= ``st`` from ``position_keys``, several times cheaper than C1 itself.
-
-    Equal tokens at equal positions have equal keys, and keys of different positions differ, so the number of shared
-    keys is never below the number of matches.
-    """
-    shared = F.size(F.array_intersect(template_keys, message_keys)).cast("double")
-    return (length > _MOST_KEYED) | (F.coalesce(F.try_divide(shared, length.cast("double")), F.lit(0.0)) >= st)
-
-
 def wildcard_count(template: Column) -> Column:
     return F.size(F.filter(template, lambda t: t == WILDCARD))
 

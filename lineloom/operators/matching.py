@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lineloom.functions.similarity import (
-    may_reach, native_similarity, needs_ngrams, ngram_bound, ngram_similarity, ngrams, position_keys,
+    native_similarity, needs_ngrams, ngram_bound, ngram_similarity, ngrams,
 )
 from lineloom.operators.messages import signature_table, with_tokens
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
@@ -36,10 +36,6 @@ def comparison(
     few = few.withColumnRenamed("Tokens", "Known")
     t, m = F.col("few.Known"), F.col("many.Tokens")
     reach = native_similarity(method, t, m) >= st
-    if method == "seqDist":
-        many = many.withColumn("Keys", position_keys(F.col("Tokens")))
-        few = few.withColumn("KnownKeys", position_keys(F.col("Known")))
-        reach = may_reach(F.col("few.KnownKeys"), F.col("many.Keys"), F.size(t), st) & reach
     if needs_ngrams(method):
         many = many.withColumn("Grams", ngrams(F.col("Tokens"), n))
         few = few.withColumn("KnownGrams", ngrams(F.col("Known"), n))
@@ -59,7 +55,7 @@ def score_pairs(pairs: DataFrame, method: str, st: float, n: int) -> DataFrame:
             "Ratio", "Bound"
         ).where(F.col("Score") >= st)
     # without n-grams the join condition was exact; a filter here would be pushed in front of its cheap parts
-    return pairs.drop("Grams", "KnownGrams", "Keys", "KnownKeys")
+    return pairs.drop("Grams", "KnownGrams")
 
 
 def best_match(sigs: DataFrame, known: DataFrame, method: str, st: float, n: int) -> DataFrame:
