@@ -647,7 +647,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return parse_logs(_events(spark, "/root/testdata/sf0.001"), PRESET).templates
 
 
+try:
+    from lineloom.llm import oracles as _llm_oracles, queries as _llm_queries
+
+    import corpus_pipeline
+except ModuleNotFoundError as missing:  # the subpackage is optional: everything else works without it
+    if missing.name not in ("lineloom.llm", "corpus_pipeline"):
+        raise
+    _llm_queries = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _own_queries()
+    if _llm_queries is not None:
+        found |= _llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "A1_read_log_lines": a1,
         "A2_line_id_physical": a2_physical,
@@ -731,4 +748,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from oracles import build
 
-    return build(SENTENCES, TEMPLATES, WANTED, masking.KEEP_WORDS)
+    found = build(SENTENCES, TEMPLATES, WANTED, masking.KEEP_WORDS)
+    if _llm_queries is not None:
+        found |= _llm_oracles.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
