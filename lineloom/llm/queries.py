@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import decontamination, line_dedup, toxicity
+from lineloom.llm import decontamination, line_dedup, near_duplicates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op8(spark, sf_dir):
     return decontamination.contamination_report(found)
 
 
+def op9(spark, sf_dir):
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -34,5 +38,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2,
         "op8_benchmark_decontamination": op8,
+        "op9_minhash_near_dedup": op9,
         "op10_toxicity": op10,
     }
