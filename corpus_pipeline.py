@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import decontamination, line_dedup, toxicity
+from lineloom.llm import decontamination, line_dedup, near_duplicates, source_mix, toxicity
 from lineloom.workspace import Workspace
 
 
@@ -19,14 +19,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.with_kept_text(line_dedup.drop_shared_lines(docs), docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.drop_near_duplicates(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How much of every remaining document the mix takes, and which shards it goes to."""
+    return source_mix.mix_report(*source_mix.mix_plan(docs))
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line dedup", line_dedup_stage),
+    ("near duplicates", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
 ]
 
 # Training and hashing are outside SQL; the tests compare the stages with plain loops.

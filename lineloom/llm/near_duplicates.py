@@ -36,7 +36,7 @@ SHINGLE = 5
 PERCENT = 85  # linked: 100 * |x & y| >= PERCENT * |x | y|
 BANDS = 42
 ROWS = 7
-DIRECT = 32
+DIRECT = 200
 SEED = 20_240_501
 _U = np.uint64
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import decontamination, line_dedup, near_duplicates, toxicity
+from lineloom.llm import decontamination, line_dedup, near_duplicates, source_mix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2(spark, sf_dir):
     return line_dedup.line_report(line_dedup.drop_shared_lines(_table(spark, sf_dir, "documents")))
 
 
+def op3(spark, sf_dir):
+    return source_mix.mix_report(*source_mix.mix_plan(_table(spark, sf_dir, "documents")))
+
+
 def op8(spark, sf_dir):
     found = decontamination.find_contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -37,6 +41,7 @@ def op10(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2,
+        "op3_source_mix": op3,
         "op8_benchmark_decontamination": op8,
         "op9_minhash_near_dedup": op9,
         "op10_toxicity": op10,
