@@ -49,3 +49,17 @@ class Workspace:
         path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete the files of a table of this workspace that nothing will read any more."""
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/lineloom-" in file:
+                self._delete(file)
+
+    def close(self) -> None:
+        """Delete everything below this workspace."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
