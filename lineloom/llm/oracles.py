@@ -12,6 +12,27 @@ def _lower(text: str) -> str:
     return _LOWER.format(text)
 
 
+OP1 = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM windows WHERE h IN (SELECT h FROM repeated)),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs WHERE len(w) > 0),
+judged AS (
+    SELECT p.*, g.pos IS NOT NULL AS removed FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos),
+done AS (
+    SELECT doc_id, count(*) AS n_words, CAST(sum(CASE WHEN removed THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+           string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT removed) AS kept
+    FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN done USING (doc_id)
+"""
+
 OP2 = f"""
 WITH lines AS (
     SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
@@ -81,4 +102,4 @@ FROM least LEFT JOIN sizes USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_minhash_near_dedup": OP9}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_minhash_near_dedup": OP9}

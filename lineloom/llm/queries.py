@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import decontamination, line_dedup, near_duplicates, source_mix, toxicity
+from lineloom.llm import decontamination, line_dedup, near_duplicates, source_mix, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark, sf_dir):
+    return substring_dedup.removal_report(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op2(spark, sf_dir):
     return line_dedup.line_report(line_dedup.drop_shared_lines(_table(spark, sf_dir, "documents")))
 
@@ -40,6 +44,7 @@ def op10(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1,
         "op2_line_dedup": op2,
         "op3_source_mix": op3,
         "op8_benchmark_decontamination": op8,
