@@ -48,6 +48,61 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM judged GROUP BY doc_id
 """
 
+_RULES = (("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"),
+          ("net", "/fr/", "block"), ("com", "/", "allow"))
+
+
+def _rule(value) -> str:
+    return "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'"
+        for h, p, v in _RULES
+    ) + " END"
+
+
+def _strength(children: str, parent: str) -> str:
+    return f"""
+    SELECT (1 - rho) / rho AS m FROM (SELECT CASE WHEN coalesce(room, 0) > 0
+        THEN least(0.5, greatest(0.001, excess / room)) ELSE 0.001 END AS rho FROM (
+        SELECT sum((squares - k * r) / (r * (1 - r)) - (c - 1)) AS excess, sum(n - sizes / n - (c - 1)) AS room FROM (
+            SELECT *, k / n AS r FROM (
+                SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k, count(*) AS c,
+                       sum(CAST(k AS DOUBLE) * k / n) AS squares, CAST(sum(n * n) AS DOUBLE) AS sizes
+                FROM {children} GROUP BY {parent}) WHERE c > 1) WHERE r > 0 AND r < 1))"""
+
+
+OP4 = f"""
+WITH parts AS (
+    SELECT page_id, {_lower("regexp_extract(rest, '^[^/?#]*')")} AS host,
+           regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE ''
+          END AS rest FROM pages)),
+counts AS (
+    SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k FROM parts
+    LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM labels) l
+    ON page_id = doc_id GROUP BY host),
+hosts AS (
+    SELECT host, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k,
+           array_to_string(list_slice(ls, greatest(1, len(ls) - w + 1), len(ls)), '.') AS suffix,
+           array_to_string(list_slice(ls, greatest(1, len(ls) - w), len(ls)), '.') AS domain
+    FROM (SELECT *, CASE WHEN len(ls) > 2 AND length(ls[-1]) = 2
+                 AND ls[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS w
+          FROM (SELECT *, string_split(host, '.') AS ls FROM counts))),
+seen AS (SELECT * FROM hosts WHERE n > 0),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM seen GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, 'all' AS root, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
+base AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 1) / CAST(sum(n) + 2 AS DOUBLE) ELSE 0.5 END AS p FROM suffixes),
+m0 AS ({_strength("suffixes", "root")}), m1 AS ({_strength("domains", "suffix")}), m2 AS ({_strength("seen", "domain")}),
+s AS (SELECT suffix, (k + m * p) / (n + m) AS suffix_rate FROM suffixes, m0, base),
+d AS (SELECT domain, (k + m * suffix_rate) / (n + m) AS domain_rate FROM domains JOIN s USING (suffix), m1),
+rated AS (
+    SELECT host, n, m, (k + m * coalesce(domain_rate, suffix_rate, p)) / (n + m) AS rate
+    FROM hosts LEFT JOIN s USING (suffix) LEFT JOIN d USING (domain), m2, base)
+SELECT page_id, host, path, {_rule(lambda h, p, v: h + p)} AS rule,
+       coalesce({_rule(lambda h, p, v: v)},
+                CASE WHEN rate + sqrt(rate * (1 - rate) / (n + m + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts JOIN rated USING (host)
+"""
+
 OP8 = f"""
 WITH item_words AS (
     SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_lower("coalesce(text, '')")}, '{_PLAIN}') AS w
@@ -102,4 +157,4 @@ FROM least LEFT JOIN sizes USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op8_benchmark_decontamination": OP8, "op9_minhash_near_dedup": OP9}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op4_url_reputation": OP4, "op8_benchmark_decontamination": OP8, "op9_minhash_near_dedup": OP9}

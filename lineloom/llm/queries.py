@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lineloom.llm import decontamination, line_dedup, near_duplicates, source_mix, substring_dedup, toxicity
+from lineloom.llm import (
+    decontamination, line_dedup, near_duplicates, source_mix, substring_dedup, toxicity, url_reputation, vector_search,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,20 @@ def op3(spark, sf_dir):
     return source_mix.mix_report(*source_mix.mix_plan(_table(spark, sf_dir, "documents")))
 
 
+def op4(spark, sf_dir):
+    """The labelled outcomes are those of ``labels``, whose ids are read as page ids."""
+    outcomes = _table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    )
+    judged = url_reputation.judge_urls(_table(spark, sf_dir, "pages"), outcomes)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vector_search.nearest_vectors(vectors, vectors.where(F.col("vec_id") % vector_search.EVERY == 0))
+
+
 def op8(spark, sf_dir):
     found = decontamination.find_contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -47,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1,
         "op2_line_dedup": op2,
         "op3_source_mix": op3,
+        "op4_url_reputation": op4,
+        "op6_nearest_vectors": op6,
         "op8_benchmark_decontamination": op8,
         "op9_minhash_near_dedup": op9,
         "op10_toxicity": op10,
