@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineloom.llm import (
-    decontamination, line_dedup, near_duplicates, source_mix, substring_dedup, toxicity, url_reputation, vector_search,
+    decontamination, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
+    url_reputation, vector_search,
 )
 
 
@@ -36,6 +37,14 @@ def op4(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5(spark, sf_dir):
+    return license_scan.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op7(spark, sf_dir):
+    return secret_scan.secret_report(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op6(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     return vector_search.nearest_vectors(vectors, vectors.where(F.col("vec_id") % vector_search.EVERY == 0))
@@ -64,7 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2,
         "op3_source_mix": op3,
         "op4_url_reputation": op4,
+        "op5_license_scan": op5,
         "op6_nearest_vectors": op6,
+        "op7_secret_scan": op7,
         "op8_benchmark_decontamination": op8,
         "op9_minhash_near_dedup": op9,
         "op10_toxicity": op10,
