@@ -124,9 +124,9 @@ def template_matches(
         return F.array_compact(F.array(*tests))
 
     read = docs.select("doc_id", row_key().alias("row_key"), spaced_words().alias("spaced"))
-    words = read.select(
-        "doc_id", "row_key", holds(F.col("spaced")).alias("verified"), F.posexplode(F.split(F.trim("spaced"), " ")).alias("pos", "word")
-    )
+    # what is needed of the whole text comes before the explosion, or it would be worked out for every word
+    read = read.select("doc_id", "row_key", holds(F.col("spaced")).alias("verified"), F.split(F.trim("spaced"), " ").alias("list"))
+    words = read.select("doc_id", "row_key", "verified", F.posexplode("list").alias("pos", "word"))
     places = workspace.table(words.join(vocabulary, "word"), "licence-words")
     total = docs.count()
     known = places.select("doc_id", "row_key", "word").distinct()

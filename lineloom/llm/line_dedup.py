@@ -22,9 +22,8 @@ def line_key(line: Column) -> Column:
 
 def shared_line_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Places to drop: ``doc_id``, ``row_key`` and the sorted line numbers ``dropped`` (from 0)."""
-    lines = docs.select(
-        "doc_id", row_key().alias("row_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
+    split = docs.select("doc_id", row_key().alias("row_key"), F.split("text", "\n").alias("lines"))
+    lines = split.select("doc_id", "row_key", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     lines = lines.select(
         "doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")
     )
