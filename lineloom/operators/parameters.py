@@ -18,7 +18,7 @@ def with_parameter_pattern(templates: DataFrame, collapse_wildcards: bool = True
         template = F.regexp_replace(template, "(?d)<.{1,5}>", WILDCARD)
     escaped = F.regexp_replace(template, "([^A-Za-z0-9])", r"\\$1")
     blanks = F.regexp_replace(escaped, r"\\ +", r"\\s+")
-    pattern = F.concat(F.lit("(?Ud)^"), F.replace(blanks, F.lit(r"\<\*\>"), F.lit("(.*?)")), F.lit("$"))
+    pattern = F.concat(F.lit("(?Ud)^"), F.replace(blanks, F.lit(r"\<\*\>"), F.lit("(.*?)")), F.lit(r"\n?$"))
     wildcards = (F.length(template) - F.length(F.replace(template, F.lit(WILDCARD), F.lit("")))) / len(WILDCARD)
     wildcards = wildcards.cast("int")
     numbers = F.when(wildcards > 0, F.sequence(F.lit(1), wildcards))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lineloom.operators.messages import partition_by_length, preprocess
 from lineloom.operators.mining import assign_templates, mine_templates, mined_template_counts
@@ -19,6 +19,18 @@ class ParsedLog(NamedTuple):
     templates: DataFrame
 
 
+def number_across_files(lines: DataFrame) -> DataFrame:
+    """``LineId`` over all files, from ``SourceFile`` (kept as ``__file``) and the number ``__physical`` inside it.
+
+    One row for each file is summed up in file order; the lines themselves are not sorted.
+    """
+    files = lines.groupBy("SourceFile").agg(F.max("__physical").alias("last"))
+    before = Window.partitionBy().orderBy("SourceFile").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("SourceFile", F.coalesce(F.sum("last").over(before), F.lit(0)).alias("__before"))
+    numbered = lines.join(files, "SourceFile").withColumn("LineId", F.col("__before") + F.col("__physical"))
+    return numbered.drop("__before").withColumnRenamed("SourceFile", "__file")
+
+
 def parse_messages(
     messages: DataFrame,
     preset: Preset,
@@ -27,7 +39,18 @@ def parse_messages(
     refine: bool = False,
     window: int = 65_536,
 ) -> ParsedLog:
-    """From ``LineId, Content, ...`` to the structured log and its template table."""
+    """From ``LineId, Content, ...`` to the structured log and its template table.
+
+    ``LineId`` must be unique, or there is a ``SourceFile`` within which it is: lines are then mined in file and line order, and
+    the result has both columns as they were.
+    """
+    if "SourceFile" in messages.columns:
+        numbered = messages.withColumnRenamed("LineId", "__physical")
+        parsed = parse_messages(
+            number_across_files(numbered), preset, mode, collapse_wildcards, refine, window
+        )
+        structured = parsed.structured.drop("LineId").withColumnRenamed("__physical", "LineId")
+        return ParsedLog(structured.withColumnRenamed("__file", "SourceFile"), parsed.templates)
     # two passes follow, one over the signatures and one over whole lines; reading them back is far cheaper than
     # matching the header and mask patterns of every line twice
     ws = Workspace(messages.sparkSession)
@@ -43,7 +66,8 @@ def parse_messages(
         )
     structured = assign_templates(lines, mining, patterns).drop("Bucket", "Signature", "NTokens")
     if preset.keep_para:
-        structured = structured.withColumn("ParameterList", parameter_list(F.col("Content"))).drop(
+        # equal patterns in a row are compiled once
+        structured = structured.sortWithinPartitions("ParameterPattern").withColumn("ParameterList", parameter_list(F.col("Content"))).drop(
             "ParameterPattern", "ParameterCount", "ParameterRewrite"
         )
     return ParsedLog(structured, mined_template_counts(mining))

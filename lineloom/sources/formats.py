@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lineloom.functions.masking import SEP
-from lineloom.functions.regex import group_spans, java_regex, strip_blanks
+from lineloom.functions.regex import java_regex, strip_blanks
 
 NON_ASCII_MARK = "<N/ASCII>"
 
@@ -27,37 +27,111 @@ class LogFormat:
     guards: tuple[int, ...]  # number of the optional group around it, 0 where there is none
 
 
+@dataclass
+class _Group:
+    """A bracketed part of a format: how it opens, its alternatives, and how often it may occur."""
+
+    opener: str
+    branches: list[list]
+    times: str
+
+    @property
+    def uncertain(self) -> bool:
+        """May the match leave one of its branches out?"""
+        return len(self.branches) > 1 or self.times[:1] in ("?", "*") or self.times.startswith("{0")
+
+
+@dataclass
+class _Slot:
+    name: str
+
+
+_OPENER = re.compile(r"\((?:\?(?:<[=!]|<\w+>|[a-z-]*:|[=!>]))?")
+_PIECES = re.compile(r"(?P<slot><[^<>]+>)|(?P<escape>\\.)|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<blanks> +)|(?P<other>.)", re.S)
+_TIMES = re.compile(r"(?:[?*+]|\{\d*,?\d*\})?[?+]?")
+
+
+def _alternatives(text: str, at: int) -> tuple[list[list], int]:
+    """The branches from ``at`` to the closing bracket or the end, as lists of regex text, slots and groups."""
+    branches: list[list] = [[]]
+    while at < len(text) and text[at] != ")":
+        if text[at] == "|":
+            branches.append([])
+            at += 1
+        elif text[at] == "(" and not re.match(r"\(\?[a-z-]+\)", text[at:]):
+            opener = _OPENER.match(text, at)
+            inner, end = _alternatives(text, opener.end())
+            times = _TIMES.match(text, end + 1)
+            branches[-1].append(_Group(opener.group(), inner, times.group()))
+            at = times.end()
+        else:
+            piece = _PIECES.match(text, at)
+            kind, part = piece.lastgroup, piece.group()
+            branches[-1].append(_Slot(part[1:-1]) if kind == "slot" else r"\s+" if kind == "blanks" else part)
+            at = piece.end()
+    return branches, at
+
+
+def _walk(part):
+    """All slots and texts at or below ``part``."""
+    if isinstance(part, _Group):
+        for branch in part.branches:
+            for inner in branch:
+                yield from _walk(inner)
+    else:
+        yield part
+
+
+class _Writer:
+    """Writes the Java pattern; a branch that may be missing gets a group whose text tells whether it took part."""
+
+    def __init__(self):
+        self.count = 0
+        self.slots: list[tuple[str, int, int]] = []  # name, group, guard
+
+    def sequence(self, parts: list, guard: int) -> str:
+        return "".join(self.part(p, guard) for p in parts)
+
+    def part(self, part, guard: int) -> str:
+        if isinstance(part, str):
+            return part
+        if isinstance(part, _Slot):
+            self.count += 1
+            self.slots.append((part.name, self.count, guard))
+            return "(.*?)"
+        captures = part.opener == "(" or re.fullmatch(r"\(\?<\w+>", part.opener)
+        self.count += bool(captures)
+        own = self.count
+        written = []
+        for branch in part.branches:
+            below = [x for p in branch for x in _walk(p)]
+            # with nothing but slots inside, an empty text does not tell
+            telling = part.uncertain and any(isinstance(x, _Slot) for x in below) and any(isinstance(x, str) for x in below)
+            if telling and captures and len(part.branches) == 1:
+                written.append(self.sequence(branch, own))
+            elif telling:
+                self.count += 1
+                written.append(f"({self.sequence(branch, self.count)})")
+            else:
+                written.append(self.sequence(branch, guard))
+        return f"{part.opener}{'|'.join(written)}){part.times}"
+
+
 def compile_log_format(log_format: str) -> LogFormat:
     """A3: literal parts are the user's own regex, runs of blanks match any white space, slots are lazy."""
     if not log_format:
         raise FormatError("a log format is required")
-    headers: list[str] = []
-    starts: list[int] = []
-    pattern = "^"
-    for part in re.split(r"(<[^<>]+>)", log_format):
-        if re.fullmatch(r"<[^<>]+>", part):
-            headers.append(part.strip("<>"))
-            starts.append(len(pattern))
-            pattern += "(.*?)"
-        else:
-            pattern += re.sub(" +", r"\\s+", part)
-    pattern += "$"
-    if len(set(headers)) != len(headers):
+    branches, end = _alternatives(log_format, 0)
+    if end < len(log_format):
+        raise FormatError(f"a bracket is closed that was not opened in {log_format!r}")
+    writer = _Writer()
+    body = "|".join(writer.sequence(b, 0) for b in branches)
+    names = tuple(name for name, _, _ in writer.slots)
+    if len(set(names)) != len(names):
         raise FormatError(f"a header occurs twice in {log_format!r}")
-
-    spans = group_spans(pattern)
-    groups, guards = [], []
-    for start in starts:
-        groups.append(1 + next(i for i, (a, _) in enumerate(spans) if a == start))
-        guard = 0
-        for i, (a, b) in enumerate(spans):
-            optional = pattern[b + 1:b + 2] in ("?", "*")
-            # with nothing but slots inside, an optional group always takes part in the match
-            literal = pattern[a + 1:b].replace("(.*?)", "")
-            if a < start < b and optional and literal:
-                guard = i + 1
-        guards.append(guard)
-    return LogFormat(java_regex(pattern), tuple(headers), tuple(groups), tuple(guards))
+    return LogFormat(
+        java_regex(f"^{body}$"), names, tuple(g for _, g, _ in writer.slots), tuple(g for _, _, g in writer.slots)
+    )
 
 
 def _needed_groups(fmt: LogFormat) -> list[int]:

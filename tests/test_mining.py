@@ -10,6 +10,7 @@ from lineloom.operators.mining import (
 from lineloom.operators.parameters import extract_parameters
 from lineloom.plans import joins
 from lineloom.plans.parse import parse_messages
+from lineloom.sources.lines import load_log
 from lineloom.plans.presets import Preset
 
 
@@ -160,3 +161,14 @@ def test_parse_does_not_depend_on_row_order(spark):
     assert one == other
     assert one[1] == {"disk <*> at node <*> failed with <*>": 90, "all good": 10}
     assert one[0][0][1] == ("0", "n0", "0")
+
+
+def test_two_files_whose_line_numbers_meet(spark, tmp_path):
+    (tmp_path / "a.log").write_text("I: alpha beta 1 2\nI: one two three four\n")
+    (tmp_path / "b.log").write_text("I: one two three 5\nI: alpha beta 3 4\nI: one two three 6\n")
+    messages = load_log(spark, str(tmp_path), "<Level>: <Content>")
+    parsed = parse_messages(messages, Preset("", st=0.6, method="seqDist"))
+    rows = sorted((r.SourceFile[-5:], r.LineId, r.EventTemplate) for r in parsed.structured.collect())
+    assert [r[:2] for r in rows] == [("a.log", 1), ("a.log", 2), ("b.log", 1), ("b.log", 2), ("b.log", 3)]
+    assert len(set(r[2] for r in rows)) == 2
+    assert sorted(r.Occurrences for r in parsed.templates.collect()) == [2, 3]

@@ -22,6 +22,18 @@ def test_optional_header_is_null(spark):
     assert (rows[2].PID, rows[2].Content, rows[2].C) == ("12", "yo", "sshd")
 
 
+@pytest.mark.parametrize("form, line, expected", [
+    (r"<C>(?:\[<PID>\])?: <Content>", "kernel: hi", ("kernel", None, "hi")),
+    (r"<C>(?:\[<PID>\])?: <Content>", "sshd[7]: hi", ("sshd", "7", "hi")),
+    (r"<C>(\[<PID>\]){0,1}: <Content>", "kernel: hi", ("kernel", None, "hi")),
+    (r"(kernel|<C>\[<PID>\]): <Content>", "kernel: hi", (None, None, "hi")),
+    (r"(kernel|<C>\[<PID>\]): <Content>", "sshd[7]: hi", ("sshd", "7", "hi")),
+])
+def test_every_optional_form_gives_null(spark, form, line, expected):
+    row = parse_log_lines(lines(spark, line), form).first()
+    assert (row.C, row.PID, row.Content) == expected
+
+
 def test_fields_keep_their_blanks(spark):
     row = parse_log_lines(lines(spark, "03/22 08:51:01 INFO   :x "), "<Date> <Time> <Level>:<Content>").first()
     assert (row.Level, row.Content) == ("INFO   ", "x")
