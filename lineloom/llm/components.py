@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
     return both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c")).select(
         F.col("v").alias("u"), F.col("m").alias("v")
-    ).where(F.col("u") != F.col("v")).distinct()
+    ).where(F.col("u") != F.col("v"))  # one edge for each edge; the small star that follows drops repeats
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
