@@ -25,7 +25,7 @@ from lineloom.operators.mining import (  # noqa: E402
     assign_templates, mine_templates, mined_template_counts, template_counts,
 )
 from lineloom.operators.parameters import extract_parameters  # noqa: E402
-from lineloom.operators.slct import mine_slct  # noqa: E402
+from lineloom.operators.slct import mine_slct, slct_outliers  # noqa: E402
 from lineloom.operators.spell import mine_spell  # noqa: E402
 from lineloom.plans.benchmark import Labelled, benchmark_suite  # noqa: E402
 from lineloom.plans.joins import spread_rows  # noqa: E402
@@ -114,6 +114,24 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+FILE_EVENTS = 500
+
+
+def _event_files(spark: SparkSession, sf_dir: str, value: F.Column) -> str:
+    """A folder of log files: each holds the lines of ``FILE_EVENTS`` event ids in order, a blank line after each."""
+    path = Workspace(spark).path("files-text")
+    lines = _events(spark, sf_dir).select(
+        "LineId", F.expr(f"LineId DIV {FILE_EVENTS}").alias("part"), F.posexplode(F.array(value, F.lit("   "))).alias("pos", "value")
+    )
+    lines = lines.repartition("part").sortWithinPartitions("part", "LineId", "pos")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def _file_number() -> F.Column:
+    return F.regexp_extract("SourceFile", "part=([0-9]+)", 1).cast("bigint").alias("FileNumber")
+
+
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
@@ -164,11 +182,9 @@ def a4_optional(spark, sf_dir):
 
 
 def a5(spark, sf_dir):
-    path = Workspace(spark).path("foreign-text")
-    lines = _events(spark, sf_dir)
     foreign = F.concat(F.lit("  "), "value", F.lit(" café ☃☃ naïve"))
-    lines.select(F.explode(F.array(foreign, F.lit("   "))).alias("value")).write.text(path)
-    return load_log(spark, path, FORMAT + " ").drop("SourceFile", "LineId")
+    loaded = load_log(spark, _event_files(spark, sf_dir, foreign), FORMAT + " ")
+    return loaded.withColumn("FileNumber", _file_number()).drop("SourceFile")
 
 
 def a6(spark, sf_dir):
@@ -308,38 +324,45 @@ def b8(spark, sf_dir):
 
 
 def _token_pairs(spark, sf_dir):
-    """Each message beside the template of its type, and beside that of another type."""
-    events = _events(spark, sf_dir)
-    content = _messages(spark, sf_dir).select("LineId", "Content")
-    own = events.select("LineId", _by_type(lambda kind: F.lit(TEMPLATES[kind])).alias("Template"))
-    return content.join(own, "LineId").select(
-        "LineId", "Content", "Template", masking.tokenize(F.col("Template")).alias("t"),
+    """Each message beside the template of its type."""
+    return _crossed_pairs(spark, sf_dir).where(F.col("Pair") == 0)
+
+
+def _crossed_pairs(spark, sf_dir):
+    """Each message beside the template of its type (``Pair`` 0), beside that of the next type (1), and beside both (2)."""
+    messages = parse_log_lines(_events(spark, sf_dir), FORMAT, keep=("LineId", "event_type"))
+    kinds = list(SENTENCES)
+    own = _by_type(lambda kind: F.lit(TEMPLATES[kind]))
+    other = _by_type(lambda kind: F.lit(TEMPLATES[kinds[(kinds.index(kind) + 1) % len(kinds)]]))
+    beside = F.posexplode(F.array(own, other, F.concat(other, F.lit(" "), own))).alias("Pair", "Template")
+    return messages.select("LineId", "Content", beside).select(
+        "LineId", "Pair", "Content", "Template", masking.tokenize(F.col("Template")).alias("t"),
         masking.tokenize(F.col("Content")).alias("m"),
     )
 
 
 def c1(spark, sf_dir):
-    return _token_pairs(spark, sf_dir).select(
-        "LineId", similarity.position_similarity(F.col("t"), F.col("m")).alias("similarity"),
+    return _crossed_pairs(spark, sf_dir).select(
+        "LineId", "Pair", similarity.position_similarity(F.col("t"), F.col("m")).alias("similarity"),
         similarity.wildcard_count(F.col("t")).alias("wildcards"),
     )
 
 
 def c2(spark, sf_dir):
-    return _token_pairs(spark, sf_dir).select(
-        "LineId", similarity.ngram_similarity(F.col("t"), F.col("m"), 2).alias("similarity")
+    return _crossed_pairs(spark, sf_dir).select(
+        "LineId", "Pair", similarity.ngram_similarity(F.col("t"), F.col("m"), 2).alias("similarity")
     )
 
 
 def c3(spark, sf_dir):
-    return _token_pairs(spark, sf_dir).select(
-        "LineId", similarity.jaccard_similarity(F.col("t"), F.col("m")).alias("similarity")
+    return _crossed_pairs(spark, sf_dir).select(
+        "LineId", "Pair", similarity.jaccard_similarity(F.col("t"), F.col("m")).alias("similarity")
     )
 
 
 def c4(spark, sf_dir):
-    return _token_pairs(spark, sf_dir).select(
-        "LineId", similarity.combined_similarity(F.col("t"), F.col("m"), "combined", 3).alias("similarity")
+    return _crossed_pairs(spark, sf_dir).select(
+        "LineId", "Pair", similarity.combined_similarity(F.col("t"), F.col("m"), "combined", 3).alias("similarity")
     )
 
 
@@ -350,8 +373,8 @@ def c5(spark, sf_dir):
 
 
 def c6(spark, sf_dir):
-    return _token_pairs(spark, sf_dir).select(
-        "LineId", text.template_similarity(F.col("Template"), F.col("Content")).alias("similarity")
+    return _crossed_pairs(spark, sf_dir).select(
+        "LineId", "Pair", text.template_similarity(F.col("Template"), F.col("Content")).alias("similarity")
     )
 
 
@@ -442,9 +465,9 @@ def d7_adjacent(spark, sf_dir):
         "LineId", F.concat(F.lit("copy "), "k", F.lit(" "), "event_type", F.lit(" done")).alias("Content"),
         F.lit("copy <*> <*> done").alias("EventTemplate"),
     )
-    one = extract_parameters(lines).select("LineId", _joined("ParameterList").alias("collapsed"))
+    one = extract_parameters(lines).select(F.lit("collapsed").alias("Mode"), "LineId", _joined("ParameterList").alias("parameters"))
     each = extract_parameters(lines, collapse_wildcards=False)
-    return one.join(each.select("LineId", _joined("ParameterList").alias("separate")), "LineId")
+    return one.unionByName(each.select(F.lit("separate").alias("Mode"), "LineId", _joined("ParameterList").alias("parameters")))
 
 
 def d8(spark, sf_dir):
@@ -452,10 +475,18 @@ def d8(spark, sf_dir):
     return structured.withColumn("ParameterList", _joined("ParameterList"))
 
 
+def d8_files(spark, sf_dir):
+    """A folder of files whose line numbers all begin at 1."""
+    loaded = load_log(spark, _event_files(spark, sf_dir, F.col("value")), FORMAT)
+    return parse_messages(loaded, PRESET).structured.select(
+        _file_number(), "LineId", "Content", "EventId", "EventTemplate", _joined("ParameterList").alias("ParameterList")
+    )
+
+
 def d8_documents(spark, sf_dir):
-    """Free text as messages: every line of every document."""
-    messages = _document_messages(spark, sf_dir)
-    return parse_messages(messages, Preset("", st=0.5, method="seqDist", keep_para=False)).templates
+    """Free text as messages: every line of every document, with its template and parameters."""
+    structured = parse_messages(_document_messages(spark, sf_dir), Preset("", st=0.5, method="seqDist")).structured
+    return structured.withColumn("ParameterList", _joined("ParameterList"))
 
 
 def d9(spark, sf_dir):
@@ -581,8 +612,7 @@ def g1_state(spark, sf_dir):
         .option("path", out).option("checkpointLocation", ws.path("progress")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    lines = spark.read.parquet(out)
-    return lines.groupBy("ClusterId").agg(F.count(F.lit(1)).alias("lines")).select("lines")
+    return spark.read.parquet(out).select("LineId", "Template")
 
 
 def g2(spark, sf_dir):
@@ -623,6 +653,16 @@ def h1_documents(spark, sf_dir):
     return mined_template_counts(mine_slct(messages, support=20, combine=False))
 
 
+def h1_combined(spark, sf_dir):
+    messages = _document_messages(spark, sf_dir)
+    return mined_template_counts(mine_slct(messages, support=20, combine=True))
+
+
+def h1_outliers(spark, sf_dir):
+    messages = _document_messages(spark, sf_dir)
+    return slct_outliers(messages, mine_slct(messages, support=20))
+
+
 def h2(spark, sf_dir):
     messages = _messages(spark, sf_dir).select("LineId", "Content")
     return mined_template_counts(mine_iplom(messages))
@@ -708,6 +748,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "D7_extract_parameters": d7,
         "D7_adjacent_wildcards": d7_adjacent,
         "D8_parse_logs": d8,
+        "D8_parse_files": d8_files,
         "D8_parse_documents": d8_documents,
         "D9_match_templates": d9,
         "E1_correct_template": _corrected(correction.correct_template),
@@ -739,6 +780,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "G2_template_counts_stream": g2,
         "H1_mine_slct": h1,
         "H1_mine_slct_documents": h1_documents,
+        "H1_slct_combined": h1_combined,
+        "H1_slct_outliers": h1_outliers,
         "H2_mine_iplom": h2,
         "H3_mine_drain": h3,
         "H4_mine_spell": h4,

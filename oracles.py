@@ -62,6 +62,34 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
     w = f"WITH {lines} "
     words = r"regexp_extract_all({}, '\s+|\S+')"
     pair = f", pr AS (SELECT *, {words.format('template')} AS t, {words.format('content')} AS m FROM ln) "
+    kinds = list(templates)
+    other = _case({k: f"'{templates[kinds[(i + 1) % len(kinds)]]}'" for i, k in enumerate(kinds)})
+    crossed = f""",
+        be AS (SELECT LineId, content, 0 AS Pair, template AS beside FROM ln
+               UNION ALL SELECT LineId, content, 1, {other} FROM ln
+               UNION ALL SELECT LineId, content, 2, {other} || ' ' || template FROM ln),
+        pr AS (SELECT *, {words.format('beside')} AS t, {words.format('content')} AS m FROM be) """
+    position = "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = m[i] AND t[i] <> '<*>')) / len(t)"
+    jaccard = "len(list_intersect(t, m)) / len(list_distinct(list_concat(t, m)))"
+
+    def gram_ratio(n: int) -> str:
+        """Shared n-grams of these pairs are unique and keep their order, so all of them match."""
+        a, b = (
+            f"list_transform(range(1, len({x}) - {n - 2}), lambda i: array_to_string({x}[i:i + {n - 1}], chr(1)))"
+            for x in ("t", "m")
+        )
+        return f"2 * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
+
+    described = f"""
+        l AS (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS pos
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+        m AS (SELECT doc_id * 4294967296 + pos - 1 AS id, regexp_extract_all(x[pos], '[^{_WS}]+') AS t FROM l),
+        c AS (SELECT id, p, t[p] AS word FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS p FROM m)),
+        f AS (SELECT p, word FROM c GROUP BY p, word HAVING count(*) > 20),
+        d AS (SELECT id, list(CASE WHEN f.word IS NULL THEN '<*>' ELSE c.word END ORDER BY p) AS t
+              FROM c LEFT JOIN f USING (p, word) GROUP BY id HAVING count(f.word) > 0),
+        k AS (SELECT t, count(*) AS n, min(id) AS id, len(list_filter(t, lambda x: x <> '<*>')) AS constants
+              FROM d GROUP BY t HAVING count(*) > 20)"""
     matches = "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = m[i] AND t[i] <> '<*>'))"
     fields = (
         "substr(tss, 1, 10) AS \"Date\", substr(tss, 12, 8) AS \"Time\", upper(event_type) AS \"Level\", "
@@ -154,7 +182,9 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
             SELECT LineId, CASE WHEN event_type = 'error' THEN 'sshd' ELSE 'kernel' END AS Component,
                    CASE WHEN event_type = 'error' THEN k END AS PID, value AS Content FROM ln""",
         "A5_load_log": w + f"""
-            SELECT {fields}, regexp_replace(content || ' café ☃☃ naïve', '[^\\x00-\\x7F]+', '<N/ASCII>', 'g') AS Content
+            SELECT LineId // 500 AS FileNumber,
+                   2 * row_number() OVER (PARTITION BY LineId // 500 ORDER BY LineId) - 1 AS LineId,
+                   {fields}, regexp_replace(content || ' café ☃☃ naïve', '[^\\x00-\\x7F]+', '<N/ASCII>', 'g') AS Content
             FROM ln""",
         "A6_load_report": """
             SELECT count(*) AS LinesRead, count(*) FILTER (WHERE event_type = 'error') AS LinesLoaded,
@@ -197,19 +227,21 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
                  c AS (SELECT page_id, {assignment} AS t FROM b),
                  d AS (SELECT page_id, {mask.format(rf"regexp_matches(x, '^\d') OR {special} OR contains(x, '/') OR contains(x, '-')")} AS t FROM c)
             SELECT page_id, array_to_string(t, '|') AS tokens, len(t) AS NTokens FROM d""",
-        "C1_position_similarity": w + pair + f"""
-            SELECT LineId, {matches} / len(t) AS similarity, len(list_filter(t, lambda x: x = '<*>')) AS wildcards FROM pr""",
-        "C3_jaccard_similarity": w + pair + """
-            SELECT LineId, len(list_intersect(t, m)) / len(list_distinct(list_concat(t, m))) AS similarity FROM pr""",
+        "C1_position_similarity": w + crossed + f"""
+            SELECT LineId, Pair, {position} AS similarity, len(list_filter(t, lambda x: x = '<*>')) AS wildcards FROM pr""",
+        "C2_ngram_similarity": w + crossed + f"SELECT LineId, Pair, {gram_ratio(2)} AS similarity FROM pr",
+        "C3_jaccard_similarity": w + crossed + f"SELECT LineId, Pair, {jaccard} AS similarity FROM pr",
+        "C4_combined_similarity": w + crossed + f"""
+            SELECT LineId, Pair, greatest({position}, {jaccard}, {gram_ratio(3)}) AS similarity FROM pr""",
         "C5_message_tokens": f"""
             WITH a AS (SELECT page_id, {message_tokens("regexp_replace(url, '[0-9]+', '<*>', 'g') || ' <*> (<*>) a|b ''c'''")} AS c FROM pages),
                  b AS (SELECT page_id, {collapse('c')} AS t FROM a)
             SELECT page_id, array_to_string(t, '|') AS tokens, len(t) AS n_tokens FROM b""",
-        "C6_template_similarity": w + f""",
-            a AS (SELECT LineId, {message_tokens('template')} AS c1, {message_tokens('content')} AS c2 FROM ln),
-            b AS (SELECT LineId, {collapse('c1')} AS x, {collapse('c2')} AS y FROM a),
-            c AS (SELECT LineId, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS s FROM b)
-            SELECT LineId, s / (nx + ny - s) AS similarity FROM c""",
+        "C6_template_similarity": w + crossed + f""",
+            a AS (SELECT LineId, Pair, {message_tokens('beside')} AS c1, {message_tokens('content')} AS c2 FROM be),
+            b AS (SELECT LineId, Pair, {collapse('c1')} AS x, {collapse('c2')} AS y FROM a),
+            c AS (SELECT LineId, Pair, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS s FROM b)
+            SELECT LineId, Pair, s / (nx + ny - s) AS similarity FROM c""",
         "C7_event_id": "SELECT doc_id, substr(md5(text), 1, 8) AS event_id FROM documents",
         "C8_render_template": w + "SELECT LineId, content AS text FROM ln",
         "C9_lenient_template_equal": w + "SELECT LineId, true AS loose_truth, event_type <> 'view' AS loose_parsed FROM ln",
@@ -228,7 +260,14 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
             SELECT LineId, CASE WHEN event_type IN ('view', 'click') THEN k || '|' || user_id ELSE user_id || '|' || k END
                    AS parameters, 2 AS n FROM ln""",
         "D7_adjacent_wildcards": w + """
-            SELECT LineId, k || ' ' || event_type AS collapsed, k || '|' || event_type AS separate FROM ln""",
+            SELECT 'collapsed' AS Mode, LineId, k || ' ' || event_type AS parameters FROM ln
+            UNION ALL SELECT 'separate', LineId, k || '|' || event_type FROM ln""",
+        "D8_parse_files": w + """
+            SELECT LineId // 500 AS FileNumber,
+                   2 * row_number() OVER (PARTITION BY LineId // 500 ORDER BY LineId) - 1 AS LineId,
+                   content AS Content, substr(md5(template), 1, 8) AS EventId, template AS EventTemplate,
+                   CASE WHEN event_type IN ('view', 'click') THEN k || '|' || user_id ELSE user_id || '|' || k END
+                   AS ParameterList FROM ln""",
         "D8_parse_logs": w + f"""
             SELECT LineId, {fields}, content AS Content, substr(md5(template), 1, 8) AS EventId, template AS EventTemplate,
                    CASE WHEN event_type IN ('view', 'click') THEN k || '|' || user_id ELSE user_id || '|' || k END
@@ -278,7 +317,7 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
             UNION ALL SELECT 'Average', round(avg(GA), 3), round(avg(FGA), 3), round(avg(FTA), 3), round(avg(PTA), 3),
                              round(avg(RTA), 3) FROM r""",
         "G1_mine_stream": assigned,
-        "G1_mine_stream_state": "SELECT count(*) AS lines FROM events GROUP BY event_type",
+        "G1_mine_stream_state": w + "SELECT LineId, template AS Template FROM ln",
         "G2_template_counts_stream": """
             SELECT substr(md5(event_type), 1, 8) AS EventId, event_type AS EventTemplate, count(*) AS Occurrences
             FROM events GROUP BY ALL""",
@@ -292,6 +331,16 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
                        FROM c LEFT JOIN f USING (p, word) GROUP BY id HAVING count(f.word) > 0)
             SELECT substr(md5(tpl), 1, 8) AS EventId, tpl AS EventTemplate, count(*) AS Occurrences
             FROM d GROUP BY tpl HAVING count(*) > 20""",
+        "H1_slct_combined": f"""
+            WITH {described},
+                 b AS (SELECT a.n, g.t, row_number() OVER (PARTITION BY a.id ORDER BY g.constants, g.n DESC, g.id) AS place
+                       FROM k a JOIN k g ON len(a.t) = len(g.t) AND len(list_filter(range(1, len(a.t) + 1),
+                            lambda i: g.t[i] <> '<*>' AND g.t[i] <> a.t[i])) = 0),
+                 o AS (SELECT array_to_string(t, ' ') AS tpl, n FROM b WHERE place = 1)
+            SELECT substr(md5(tpl), 1, 8) AS EventId, tpl AS EventTemplate, CAST(sum(n) AS BIGINT) AS Occurrences
+            FROM o GROUP BY tpl""",
+        "H1_slct_outliers": f"""
+            WITH {described} SELECT id AS LineId FROM m WHERE id NOT IN (SELECT d.id FROM d JOIN k USING (t))""",
         "H2_mine_iplom": counts,
         "H3_mine_drain": counts,
         "H4_mine_spell": counts,
