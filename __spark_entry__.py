@@ -484,9 +484,9 @@ def d8_files(spark, sf_dir):
 
 
 def d8_documents(spark, sf_dir):
-    """Free text as messages: every line of every document, with its template and parameters."""
-    structured = parse_messages(_document_messages(spark, sf_dir), Preset("", st=0.5, method="seqDist")).structured
-    return structured.withColumn("ParameterList", _joined("ParameterList"))
+    """Free text as messages: every line of every document with its template (no parameters, see the README)."""
+    preset = Preset("", st=0.5, method="seqDist", keep_para=False)
+    return parse_messages(_document_messages(spark, sf_dir), preset).structured
 
 
 def d9(spark, sf_dir):
