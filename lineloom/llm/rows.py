@@ -96,6 +96,14 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """What ``np.unique`` returns, by a sort; on whole numbers that is many times faster than its hash table."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 def text_chunks(texts: list[str | None], split, most_words: int = 400_000) -> Iterator[tuple[int, list, np.ndarray]]:
     """Neighbouring texts cut into words, ``most_words`` or one text at a time: first index, words, word counts."""
     first, held, counts = 0, [], []

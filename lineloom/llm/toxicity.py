@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lineloom.llm.rows import carried
+from lineloom.llm.rows import carried, distinct_sorted
 
 SAMPLE = 2_000
 SAMPLE_CHARS = 20_000
@@ -53,31 +53,38 @@ class ToxicityModel:
         return sum(weights[f] for f in word_features(word) if f in weights)
 
 
-def _bags(texts: list[str], labels: np.ndarray, min_docs: int):
-    """Feature numbers of all sentences in one array, with the sentence and document each belongs to."""
-    seen: dict[str, int] = {}
-    last: dict[str, int] = {}
-    bags = []
+def _bags(texts: list[str], min_docs: int):
+    """Feature numbers of all sentences in one array, with the sentence and document each belongs to.
+
+    Words are numbered as they come and their features worked out once; the rest is done on arrays of numbers.
+    """
+    numbers: dict[str, int] = {}
+    words, counts, owners = [], [], []
     for d, text in enumerate(texts):
-        bag = []
         for start, end in sentences(text):
-            features = {f for w in set(_WORDS.findall(text[start:end].lower())) for f in word_features(w)}
-            for f in features:
-                if last.get(f) != d:
-                    last[f] = d
-                    seen[f] = seen.get(f, 0) + 1
-            bag.append(sorted(features))
-        bags.append(bag)
-    names = [f for f, n in sorted(seen.items()) if n >= min_docs]
-    number = {f: i for i, f in enumerate(names)}
-    features, lengths, owners = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            known = [number[f] for f in sentence if f in number]
-            features.extend(known)
-            lengths.append(len(known))
+            found = [numbers.setdefault(w, len(numbers)) for w in set(_WORDS.findall(text[start:end].lower()))]
+            words.extend(found)
+            counts.append(len(found))
             owners.append(d)
-    return names, np.array(features, np.int64), np.array(lengths, np.int64), np.array(owners, np.int64)
+    features = [word_features(w) for w in numbers]
+    names = sorted({f for own in features for f in own})
+    place = {f: i for i, f in enumerate(names)}
+    sizes = np.array([len(own) for own in features], np.int64)
+    flat = np.array([place[f] for own in features for f in own], np.int64)
+    first = np.cumsum(sizes) - sizes
+    words, owners = np.array(words, np.int64), np.array(owners, np.int64)
+    # every word gives way to its features: (sentence, feature), each once
+    width, spread = max(1, len(names)), sizes[words]
+    offset = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+    held = flat[np.repeat(first[words], spread) + offset]
+    sentence = np.repeat(np.repeat(np.arange(len(counts)), np.array(counts, np.int64)), spread)
+    sentence, feature = np.divmod(distinct_sorted(sentence * width + held), width)
+    docs = np.bincount(distinct_sorted(owners[sentence] * width + feature) % width, minlength=width)
+    frequent = docs >= min_docs
+    kept = frequent[feature]
+    names = [f for f, often in zip(names, frequent) if often]
+    lengths = np.bincount(sentence[kept], minlength=len(counts))
+    return names, (np.cumsum(frequent) - 1)[feature[kept]], lengths, owners
 
 
 def fit(
@@ -88,7 +95,7 @@ def fit(
     y = np.array(labels, bool)
     if not y.any() or y.all():  # one class only, or no rows: a constant
         return ToxicityModel(bias=-12.0 if not y.any() else 0.0, weights={})
-    names, features, lengths, owners = _bags(texts, y, min_docs)
+    names, features, lengths, owners = _bags(texts, min_docs)
     sentence = np.repeat(np.arange(len(lengths)), lengths)
     weight = np.where(y, class_weight[1], class_weight[0])
     weight = weight / weight.sum()
