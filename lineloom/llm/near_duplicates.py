@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lineloom.llm.components import connected_components
-from lineloom.llm.rows import as_int64, lower_words, text_chunks, window_hashes, word_hashes
+from lineloom.llm.rows import as_int64, distinct_sorted, lower_words, text_chunks, window_hashes, word_hashes
 from lineloom.workspace import Workspace
 
 SHINGLE = 5
@@ -52,7 +52,7 @@ def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingles of one document's word hashes; short texts are one shingle."""
     if not len(hashes):
         return hashes
-    return np.unique(window_hashes(hashes, min(size, len(hashes))))
+    return distinct_sorted(window_hashes(hashes, min(size, len(hashes))))
 
 
 def minima(shingles: np.ndarray, odd: np.ndarray, shift: np.ndarray) -> np.ndarray:
