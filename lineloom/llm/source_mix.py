@@ -167,11 +167,13 @@ def mix_plan(
         "doc_id", "row_key", "source", "size", "source_size", "target", "source_no", "block", "u", "rounds", "taken"
     )
 
-    # draws: every block in each full round, and in the last round those that begin before its end
-    rounds = placed.join(recipe, "source_no").select(
-        "source_no", "block",
-        F.explode(F.sequence(F.lit(0), F.col("rounds") - F.when(F.col("start") < F.col("part"), 0).otherwise(1))).alias("round"),
-    ).where(F.col("round") >= 0)
+    # draws: every block with words in each full round, and in the last round those that begin before its end
+    times = F.col("rounds") + F.when(F.col("start") < F.col("part"), 1).otherwise(0)
+    drawn = placed.where(F.col("words") > 0).join(recipe, "source_no").withColumn("times", times)
+    # sequence(0, -1) counts down, so blocks that no round takes have to go before it
+    rounds = drawn.where(F.col("times") > 0).select(
+        "source_no", "block", F.explode(F.expr("sequence(0L, times - 1)")).alias("round")
+    )
     rounds = workspace.table(rounds, "draws")
     quota = {r["source_no"]: r["n"] for r in rounds.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
     numbers = sorted(quota)

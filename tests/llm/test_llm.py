@@ -124,6 +124,32 @@ def test_source_mix(docs, empty):
     assert source_mix.mix_report(*source_mix.mix_plan(empty)).count() == 0
 
 
+def test_source_mix_below_size(spark):
+    """``b`` gives less than it holds: only blocks of which words are taken are drawn, and they spread over all shards."""
+    rows_ = [(i, " ".join(prose(i, 10)), "abc"[i % 3]) for i in range(900)] + [(900 + i, "", "b") for i in range(5)]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, source string")
+    shares, draws = source_mix.mix_plan(docs, block_words=50, shard_blocks=12)
+    shares, draws = shares.collect(), draws.collect()
+    assert all(s.rounds == 0 and s.target < s.source_size for s in shares if s.source == "b")
+    taken, want = defaultdict(int), set()
+    for s in shares:
+        for k in range(-(-s.taken // s.size) if s.size else 0):
+            want.add((s.source_no, s.block, k))
+            taken[(s.source_no, s.block, k)] += min(s.size, s.taken - k * s.size)
+    assert {(d.source_no, d.block, d.round) for d in draws} == want and len(draws) == len(want)
+    given, seats = defaultdict(int), defaultdict(int)
+    for d in draws:
+        given[(d.shard, d.source_no)] += taken[(d.source_no, d.block, d.round)]
+        seats[(d.shard, d.source_no)] += 1
+    shards = {d.shard for d in draws}
+    assert shards == set(range(-(-len(want) // 12))) and max(
+        sum(seats[(h, n)] for n in range(3)) for h in shards) <= 12
+    for n in range(3):
+        mean = sum(given[(h, n)] for h in shards) / sum(seats[(h, n)] for h in shards)
+        for h in shards:  # a block holds about five documents of ten words
+            assert abs(given[(h, n)] - mean * seats[(h, n)]) <= 5 * 22 * max(1, seats[(h, n)]) ** 0.5
+
+
 def test_targets():
     found = source_mix.source_targets({"a": 100, "b": 100, None: 100, "c": 10})
     assert found == pytest.approx({"a": 200, "b": 83.333333, "c": 20, None: 161.666667}, abs=90)
