@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lineloom.llm import decontamination, line_dedup, near_duplicates, source_mix, toxicity
 from lineloom.workspace import Workspace
 
+# Near copies of the corpus have a similarity of 0.8 or more; with these bands a pair at 0.8 is missed with a chance below 1e-6
+NEAR_PERCENT = 80
+NEAR_BANDS = 46
+NEAR_ROWS = 6
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -20,7 +25,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates.drop_near_duplicates(docs)
+    return near_duplicates.drop_near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS, rows=NEAR_ROWS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,6 +284,22 @@ def test_near_duplicates(docs, empty, direct):
         assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicate_stage(spark):
+    """Similarities from 0.8 to below 0.85 are near copies for the pipeline and not for op9; below 0.8 for neither."""
+    base, texts = prose(77, 300), {}
+    for name, changed in ((1, ()), (2, (50, 100, 150, 200, 250, 280)), (3, (30, 60, 90, 120, 150, 180, 210))):
+        own = [f"{name}_{i}" if i in changed else w for i, w in enumerate(base)]
+        texts[name] = own
+    shingles = {n: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for n, w in texts.items()}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert 0.8 <= alike(1, 2) < 0.85 and alike(1, 3) < 0.8 and alike(2, 3) < 0.8
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in texts.items()], "doc_id bigint, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert near_duplicates.near_duplicates(docs).where("kept").count() == 3
+    assert (1 - 0.8 ** corpus_pipeline.NEAR_ROWS) ** corpus_pipeline.NEAR_BANDS < 1e-6
+
+
 def labelled(spark):
     rng = np.random.default_rng(3)
     out, labels = [], []
