@@ -5,7 +5,8 @@ even where their text is cut or altered:
 
 1. Every word of every text meets the template vocabulary (a few dozen words, broadcast); what remains are places of licence words,
    and document counts, hence IDF, over the whole corpus.
-2. Each document looks up its ``rare_words`` licence words of highest IDF.  A posting ``(template, position)`` and a place
+2. For each template whose key phrases it holds, a document looks up its ``rare_words`` words of that template of highest
+   IDF, so templates do not take each other's places.  A posting ``(template, position)`` and a place
    in the text give an offset; words that agree on an offset stand in the text as they stand in the template.
 3. The IDF of agreeing words over that of the template's own rarest words is the score; a template also needs all of its
    key phrases.
@@ -134,20 +135,26 @@ def template_matches(
         F.log((F.lit(float(total)) + 1) / (F.count(F.lit(1)) + 0.5)).alias("idf")
     )
     idf = F.broadcast(workspace.table(idf, "idf"))  # one row for each template word
-    by_rarity = Window.partitionBy("doc_id", "row_key").orderBy(F.col("idf").desc(), "word")  # bounded by the vocabulary
-    rare = known.join(idf, "word").withColumn("nth", F.row_number().over(by_rarity)).where(F.col("nth") <= rare_words)
+    # only texts with the key phrases of a template go on, for each such template by itself
+    held = places.where(F.size("verified") > 0)
+    by_rarity = Window.partitionBy("doc_id", "row_key", "label").orderBy(F.col("idf").desc(), "word")  # bounded by the template
+    rare = held.select("doc_id", "row_key", "word", F.explode("verified").alias("label")).distinct().join(
+        F.broadcast(postings.select("label", "word").distinct()), ["label", "word"]
+    ).join(idf, "word").withColumn("nth", F.row_number().over(by_rarity)).where(F.col("nth") <= rare_words)
     # a template word that no text holds has the highest IDF of all
     unseen = F.log((F.lit(float(total)) + 1) / 0.5)
     by_template = Window.partitionBy("label").orderBy(F.col("idf").desc(), "word")
     weights = postings.select("label", "word").distinct().join(idf, "word", "left").withColumn("idf", F.coalesce("idf", unseen))
     weights = weights.withColumn("nth", F.row_number().over(by_template)).where(F.col("nth") <= rare_words)
     weights = F.broadcast(weights.groupBy("label").agg(F.sum("idf").alias("whole")))
-    looked_up = places.join(
-        rare.select(F.col("doc_id").alias("its_id"), F.col("row_key").alias("its_key"), F.col("word").alias("its_word"), "idf"),
+    looked_up = held.join(
+        rare.select(
+            F.col("doc_id").alias("its_id"), F.col("row_key").alias("its_key"), F.col("word").alias("its_word"), "label", "idf"
+        ),
         F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("row_key") == F.col("its_key"))
         & (F.col("word") == F.col("its_word")),
     )
-    aligned = looked_up.join(F.broadcast(postings), "word").where(F.array_contains("verified", F.col("label"))).select(
+    aligned = looked_up.join(F.broadcast(postings), ["label", "word"]).select(
         "doc_id", "row_key", "label", (F.col("pos") - F.col("at")).alias("at_word"), "word", "idf"
     ).distinct()
     agreeing = aligned.groupBy("doc_id", "row_key", "label", "at_word").agg(F.sum("idf").alias("agreed"))

@@ -194,6 +194,18 @@ def test_license_templates(spark):
     assert found[2].labels == found[3].labels == ""
 
 
+def test_license_templates_together(spark):
+    """Every template is found in a text that holds all of them, and in one with rarer words of others strewn in."""
+    everything = " filler words between ".join(t.text for t in license_scan.TEMPLATES.values())
+    strewn = "redistribution attribution creative mozilla international binary permitted documentation compliance associated"
+    texts = [everything, f"{strewn} released under the mit license", strewn]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in license_scan.template_matches(docs).groupBy("doc_id").agg(
+        F.collect_set("label").alias("labels"), F.min("score").alias("score")).collect()}
+    assert set(found[0].labels) == set(license_scan.TEMPLATES) and found[0].score == pytest.approx(1)
+    assert found[1].labels == ["mit-notice"] and found[1].score == pytest.approx(1) and 2 not in found
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(1500, 8))
