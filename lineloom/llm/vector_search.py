@@ -187,9 +187,9 @@ def nearest_vectors(
     spark = vectors.sparkSession
     workspace = workspace or Workspace(spark)
     entries, asked = usable(vectors, vector), usable(queries, vector)
-    # of equal vectors only the smallest ids can be answers; Spark limits each group before it shuffles
+    # of equal vectors only the smallest ids can be answers, repeated rows counted once; Spark limits each group before it shuffles
     smallest = Window.partitionBy("vector").orderBy("vec_id")
-    entries = entries.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1).drop("nth").distinct()
+    entries = entries.distinct().withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1).drop("nth")
     entries = workspace.table(entries, "entries")
     count = entries.count()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

@@ -228,6 +228,17 @@ def test_vector_search(spark):
     assert vector_search.nearest_vectors(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vector_search_repeated_rows(spark):
+    """A row repeated ten times takes one place among the equal vectors."""
+    same, other = [1.0, 2.0, 3.0], [-1.0, 0.5, 0.25]
+    table = [(0, same)] * 10 + [(i, same) for i in range(1, 9)] + [(100 + i, other) for i in range(3)]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in sorted(vector_search.nearest_vectors(df, df.where("vec_id IN (0, 8)")).collect(), key=lambda r: r.rank):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    assert got == {0: [(i, 1.0) for i in range(1, 6)], 8: [(i, 1.0) for i in range(5)]}
+
+
 def test_secret_scan(spark, docs, empty):
     key = "Zk3vQ9xT7bLw2RmN8pYcD5fH"
     texts = [f"password = '{key}' é", "token=secret=abcdefghijkl token: short", "AKIA" + "Z9" * 7 + " AKIAshort", "é deadbeefdeadbeef0 ff",
