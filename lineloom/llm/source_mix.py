@@ -222,14 +222,24 @@ def mixed_documents(docs: DataFrame, shares: DataFrame, draws: DataFrame, seed:
 
     ``words`` says how many of its words, from the first on, the round takes; ``place`` is a random order inside the shard.
     """
-    each = draws.join(shares.where(F.col("taken") > 0), ["source_no", "block"])
+    # rows that repeat id, source and text are numbered on both sides, so each meets one share
+    again = Window.partitionBy("its_id", "its_key", "its_source").orderBy("taken")
+    numbered = shares.withColumnsRenamed({"doc_id": "its_id", "row_key": "its_key", "source": "its_source"}).withColumn(
+        "its_nth", F.row_number().over(again)
+    )
+    each = draws.join(numbered.where(F.col("taken") > 0), ["source_no", "block"])
     words = F.least(F.col("size"), F.col("taken") - F.col("round") * F.col("size"))
     each = each.withColumn("words", words).where(F.col("words") > 0).select(
-        F.col("doc_id").alias("its_id"), F.col("row_key").alias("its_key"), "shard", "words",
-        F.xxhash64(F.lit(seed), "shard", "round", "row_key").alias("place"),
-    ).distinct()
+        "its_id", "its_key", "its_source", "its_nth", "shard", "words",
+        F.xxhash64(F.lit(seed), "shard", "round", "its_key", "its_source", "its_nth").alias("place"),
+    )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("own_key"))
-    on = F.col("row.doc_id").eqNullSafe(F.col("its_id")) & (F.col("own_key") == F.col("its_key"))
+    own = Window.partitionBy("row.doc_id", "own_key", "row.source").orderBy("own_key")
+    rows = rows.withColumn("own_nth", F.row_number().over(own))
+    on = (
+        F.col("row.doc_id").eqNullSafe(F.col("its_id")) & (F.col("own_key") == F.col("its_key"))
+        & F.col("row.source").eqNullSafe(F.col("its_source")) & (F.col("own_nth") == F.col("its_nth"))
+    )
     return rows.join(each, on).select("shard", "place", "words", "row").repartition("shard").sortWithinPartitions(
         "shard", "place"
     )

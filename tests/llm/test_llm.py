@@ -150,6 +150,32 @@ def test_source_mix_below_size(spark):
             assert abs(given[(h, n)] - mean * seats[(h, n)]) <= 5 * 22 * max(1, seats[(h, n)]) ** 0.5
 
 
+def test_mixed_documents(spark):
+    """The mix gives every source's target, by shard what the draws say, also where rows repeat an id and text."""
+    table = [(i, " ".join(prose(i, 10)), ("a", "b", None)[i % 3]) for i in range(240)]
+    table += [(900, " ".join(prose(900, 7)), "b")] * 60 + [(900, " ".join(prose(900, 7)), "a")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, source string")
+    shares, draws = source_mix.mix_plan(docs, block_words=50, shard_blocks=6)
+    mixed = source_mix.mixed_documents(docs, shares, draws).collect()
+    shares, draws = shares.collect(), draws.collect()
+    block, want, target, got = defaultdict(list), defaultdict(int), {}, defaultdict(int)
+    for s in shares:
+        block[(s.source_no, s.block)].append(s)
+        target[s.source] = s.target
+    assert len({(d.source_no, d.block, d.round) for d in draws}) == len(draws)
+    for d in draws:
+        for s in block[(d.source_no, d.block)]:
+            want[(d.shard, s.source, s.doc_id)] += min(s.size, max(0, s.taken - d.round * s.size))
+    for m in mixed:
+        assert 0 < m.words <= len(words(m.row.text))
+        got[(m.shard, m.row.source, m.row.doc_id)] += m.words
+    assert got == {k: n for k, n in want.items() if n}
+    for name, aim in target.items():
+        assert abs(sum(n for k, n in got.items() if k[1] == name) - aim) <= 0.51
+    places = [(m.shard, m.place) for m in mixed]
+    assert len(set(places)) == len(places)
+
+
 def test_targets():
     found = source_mix.source_targets({"a": 100, "b": 100, None: 100, "c": 10})
     assert found == pytest.approx({"a": 200, "b": 83.333333, "c": 20, None: 161.666667}, abs=90)
