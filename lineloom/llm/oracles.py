@@ -156,5 +156,59 @@ FROM least LEFT JOIN sizes USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+judged AS (
+    SELECT doc_id, part,
+           CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+    FROM texts JOIN firsts USING (t)),
+marked AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+classes AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+    FROM judged LEFT JOIN marked USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+         JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (
+    SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS own, left(filter_order, i - 1) AS earlier
+    FROM orders, unnest(range(1, 6)) AS u(i)),
+crossed AS (
+    SELECT c.*, s.*, contains(fails, own) AS bad,
+           length(translate(fails, earlier, '')) < length(fails) AS gone
+    FROM classes c, steps s),
+counted AS (
+    SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT bad), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE bad AND NOT gone), 0) AS removed,
+           coalesce(sum(n) FILTER (WHERE bad AND gone), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE fails = own), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (WHERE bad AND NOT gone), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (WHERE bad AND NOT gone), 0) AS toxic_lost
+    FROM crossed GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op4_url_reputation": OP4, "op8_benchmark_decontamination": OP8, "op9_minhash_near_dedup": OP9}
+    return {
+        "op1_substring_dedup": OP1,
+        "op2_line_dedup": OP2,
+        "op4_url_reputation": OP4,
+        "op8_benchmark_decontamination": OP8,
+        "op9_minhash_near_dedup": OP9,
+        "op11_filter_audit": OP11,
+    }

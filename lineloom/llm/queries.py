@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineloom.llm import (
-    decontamination, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
+    decontamination, filter_audit, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
     url_reputation, vector_search,
 )
 
@@ -67,6 +67,10 @@ def op10(spark, sf_dir):
     return toxicity.toxicity_report(toxicity.score(docs, model))
 
 
+def op11(spark, sf_dir):
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1,
@@ -79,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8,
         "op9_minhash_near_dedup": op9,
         "op10_toxicity": op10,
+        "op11_filter_audit": op11,
     }
