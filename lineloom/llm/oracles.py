@@ -203,6 +203,90 @@ FROM counted
 """
 
 
+def _transitions() -> str:
+    """Edits of a row as SQL rows: state, initial, next state, cost, letters; states: 0 nothing yet, 1 after s, 2 after u, 3 after a."""
+    follows = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    rows = []
+    for state in range(4):
+        at, cost, letters = state, 0, ""
+        for _ in range(3):
+            role = "a" if at == 2 else "u"
+            rows.append((state, "D", "", at, cost + 3, letters + "D"))
+            rows.append((state, "R", "", follows[at, role], cost + 2, letters + "R"))
+            rows += [(state, "K", i, follows[at, i], cost, letters + "K") for i in "sua" if (at, i) in follows]
+            if at in (0, 3):
+                rows.append((state, "end", "", at, cost, letters))
+            at, cost, letters = follows[at, role], cost + 2, letters + "I"
+    return ", ".join(f"({s}, '{e}', '{i}', {t}, {c}, '{x}')" for s, e, i, t, c, x in rows)
+
+
+# the bits of a checksum, byte by byte
+_CRC = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR k IN range(8)]), "
+    "lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+
+OP12 = rf"""
+WITH RECURSIVE edits(state, edit, initial, next, cost, letters) AS (VALUES {_transitions()}),
+told AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+    FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM told WHERE kind <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+           left(role, 1) AS initial, rtrim(text, {_BLANKS}) AS kept
+    FROM damaged),
+judged AS (
+    SELECT *, kept = '' AS blank, kept <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier
+    FROM placed),
+faults AS (
+    SELECT *, NOT blank AND NOT duplicate AND right(kept, 1) NOT IN ('.', '!', '?') AS truncated FROM judged),
+counted AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+           count(*) FILTER (WHERE truncated) AS truncated,
+           count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id),
+-- the cheapest way to each state after each row, the least letters among equals
+way AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS turns FROM counted
+    UNION ALL
+    SELECT conv_id, i, next AS state, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(turns, (cost, audit)) AS turns
+    FROM (
+        SELECT w.conv_id, f.i, e.next, w.cost + e.cost + CASE WHEN f.truncated AND e.edit <> 'D' THEN 1 ELSE 0 END AS cost,
+               w.audit || e.letters AS audit,
+               list_concat(
+                   list_concat(w.turns, list_transform(
+                       range(length(e.letters) - 1),
+                       lambda k: CASE WHEN (w.state = 2) = (k % 2 = 0) THEN 'assistant:' ELSE 'user:' END)),
+                   CASE e.edit WHEN 'K' THEN [f.role || ':' || f.text]
+                        WHEN 'R' THEN [CASE e.next WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] ELSE [] END) AS turns
+        FROM way w JOIN faults f ON f.conv_id = w.conv_id AND f.i = w.i + 1
+             JOIN edits e ON e.state = w.state AND (e.edit = 'D' OR NOT (f.blank OR f.duplicate)
+                             AND (e.edit = 'R' OR e.edit = 'K' AND e.initial = f.initial)) ) steps
+    GROUP BY conv_id, i, next),
+ended AS (
+    SELECT w.conv_id, w.cost + e.cost AS cost, w.audit || e.letters AS audit,
+           list_concat(w.turns, list_transform(range(length(e.letters)),
+                       lambda k: CASE WHEN (w.state = 2) = (k % 2 = 0) THEN 'assistant:' ELSE 'user:' END)) AS turns
+    FROM way w JOIN counted c ON c.conv_id = w.conv_id AND c.n = w.i JOIN edits e ON e.state = w.state AND e.edit = 'end'),
+best AS (
+    SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(turns, (cost, audit)) AS turns
+    FROM ended GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1,
@@ -211,4 +295,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_benchmark_decontamination": OP8,
         "op9_minhash_near_dedup": OP9,
         "op11_filter_audit": OP11,
+        "op12_conversation_repair": OP12,
     }

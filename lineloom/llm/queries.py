@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineloom.llm import (
-    decontamination, filter_audit, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
+    conversation_repair, decontamination, filter_audit, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
     url_reputation, vector_search,
 )
 
@@ -71,6 +71,10 @@ def op11(spark, sf_dir):
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12(spark, sf_dir):
+    return conversation_repair.repair_report(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1,
@@ -84,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_dedup": op9,
         "op10_toxicity": op10,
         "op11_filter_audit": op11,
+        "op12_conversation_repair": op12,
     }
