@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineloom.llm import (
-    conversation_repair, decontamination, filter_audit, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
+    best_fit_packing, conversation_repair, decontamination, filter_audit, license_scan, line_dedup, near_duplicates, secret_scan, source_mix, substring_dedup, toxicity,
     url_reputation, vector_search,
 )
 
@@ -75,6 +75,12 @@ def op12(spark, sf_dir):
     return conversation_repair.repair_report(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
 
 
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    return best_fit_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1,
@@ -89,4 +95,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10,
         "op11_filter_audit": op11,
         "op12_conversation_repair": op12,
+        "op13_best_fit_packing": op13,
     }

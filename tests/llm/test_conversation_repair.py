@@ -157,6 +157,7 @@ def damaged(rows):
 def test_damaged_conversations(spark):
     rng = np.random.default_rng(6)
     conversations = {i: random_rows(rng, 1 + int(rng.integers(0, 30)), ("user", "assistant")) for i in range(80)}
+    conversations |= {c: [(0, "user", "hello.")] for c in range(200, 300)}
     want = {c: wanted(damaged([(c, *r) for r in rows])) for c, rows in conversations.items()}
     assert any(not damaged([(c, *r) for r in rows]) for c, rows in conversations.items())
     assert found(repair_report(damage(table(spark, conversations)))) == want
