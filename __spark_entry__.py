@@ -459,6 +459,16 @@ def d7(spark, sf_dir):
     return values.select("LineId", _joined("ParameterList").alias("parameters"), F.size("ParameterList").alias("n"))
 
 
+def d7_documents(spark, sf_dir):
+    """Every document line under a template of its own, in which at most eight of its words are wildcards."""
+    words = masking.tokenize(F.col("Content"), r"\s+")
+    lines = _document_messages(spark, sf_dir).withColumn("words", words)
+    every = F.expr("size(words) DIV 8 + 1")
+    masked = F.transform("words", lambda word, i: F.when(i % every == every - 1, masking.WILDCARD).otherwise(word))
+    values = extract_parameters(lines.select("LineId", "Content", F.array_join(masked, " ").alias("EventTemplate")))
+    return values.select("LineId", F.md5(_joined("ParameterList")).alias("parameters"), F.size("ParameterList").alias("n"))
+
+
 def d7_adjacent(spark, sf_dir):
     """Neighbouring wildcards: one value in the default mode, one each without collapsing."""
     lines = _events(spark, sf_dir).select(
@@ -484,9 +494,9 @@ def d8_files(spark, sf_dir):
 
 
 def d8_documents(spark, sf_dir):
-    """Free text as messages: every line of every document with its template (no parameters, see the README)."""
-    preset = Preset("", st=0.5, method="seqDist", keep_para=False)
-    return parse_messages(_document_messages(spark, sf_dir), preset).structured
+    """Free text as messages: every line of every document with its template and parameters."""
+    structured = parse_messages(_document_messages(spark, sf_dir), Preset("", st=0.5, method="seqDist")).structured
+    return structured.withColumn("ParameterList", _joined("ParameterList"))
 
 
 def d9(spark, sf_dir):
@@ -746,6 +756,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "D5_assign_templates": d5,
         "D6_template_counts": d6,
         "D7_extract_parameters": d7,
+        "D7_extract_parameters_documents": d7_documents,
         "D7_adjacent_wildcards": d7_adjacent,
         "D8_parse_logs": d8,
         "D8_parse_files": d8_files,

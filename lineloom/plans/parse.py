@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lineloom.operators.messages import partition_by_length, preprocess
 from lineloom.operators.mining import assign_templates, mine_templates, mined_template_counts
-from lineloom.operators.parameters import parameter_list, with_parameter_pattern
+from lineloom.operators.parameters import with_literals, with_parameters
 from lineloom.plans.presets import Preset
 from lineloom.sources.formats import parse_log_lines
 from lineloom.workspace import Workspace
@@ -58,18 +58,13 @@ def parse_messages(
     mining = mine_templates(
         lines.select("LineId", "Bucket", "Signature"), preset.method, preset.st, preset.n, mode, refine, window
     )
-    patterns = None
+    literals = None
     if preset.keep_para:
-        # one pattern per template, built before it reaches the lines
-        patterns = with_parameter_pattern(
-            mining.clusters.select("EventTemplate").distinct(), collapse_wildcards
-        )
-    structured = assign_templates(lines, mining, patterns).drop("Bucket", "Signature", "NTokens")
+        # cut once per template, before they reach the lines
+        literals = with_literals(mining.clusters.select("EventTemplate").distinct(), collapse_wildcards)
+    structured = assign_templates(lines, mining, literals).drop("Bucket", "Signature", "NTokens")
     if preset.keep_para:
-        # equal patterns in a row are compiled once
-        structured = structured.sortWithinPartitions("ParameterPattern").withColumn("ParameterList", parameter_list(F.col("Content"))).drop(
-            "ParameterPattern", "ParameterCount", "ParameterRewrite"
-        )
+        structured = with_parameters(structured)
     return ParsedLog(structured, mined_template_counts(mining))
 
 

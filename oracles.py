@@ -259,6 +259,20 @@ def build(sentences: dict, templates: dict, wanted: list, keep_words: tuple) ->
         "D7_extract_parameters": w + """
             SELECT LineId, CASE WHEN event_type IN ('view', 'click') THEN k || '|' || user_id ELSE user_id || '|' || k END
                    AS parameters, 2 AS n FROM ln""",
+        "D7_extract_parameters_documents": rf"""
+            WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+                 m AS (SELECT (doc_id << 32) + i - 1 AS LineId, lines[i] AS c, regexp_extract_all(lines[i], '[^{_WS}]+') AS t
+                       FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+                 p AS (SELECT LineId, c, array_to_string(list_transform(range(1, len(t) + 1),
+                              lambda i: CASE WHEN (i - 1) % (len(t) // 8 + 1) = len(t) // 8 THEN '<*>' ELSE t[i] END), ' ') AS tpl FROM m),
+                 q AS (SELECT LineId, c, string_split(regexp_replace(tpl, '<.{{1,5}}>', '<*>', 'g'), '<*>') AS parts FROM p),
+                 r AS (SELECT LineId, c, len(parts) - 1 AS n,
+                              '^' || array_to_string(list_transform(parts, lambda x: replace(
+                                  regexp_replace(x, '([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e])', '\\\1', 'g'), ' ', '[{_WS}]+')), '(.*?)') || '$' AS pattern FROM q)
+            SELECT LineId, CAST(CASE WHEN n > 0 AND regexp_matches(c, pattern) THEN n ELSE 0 END AS INTEGER) AS n,
+                   md5(CASE WHEN n > 0 AND regexp_matches(c, pattern)
+                       THEN regexp_replace(c, pattern, left('\1|\2|\3|\4|\5|\6|\7|\8|\9', 3 * n - 1)) ELSE '' END) AS parameters
+            FROM r""",
         "D7_adjacent_wildcards": w + """
             SELECT 'collapsed' AS Mode, LineId, k || ' ' || event_type AS parameters FROM ln
             UNION ALL SELECT 'separate', LineId, k || '|' || event_type FROM ln""",
