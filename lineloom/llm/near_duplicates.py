@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lineloom.llm.components import connected_components
 from lineloom.llm.rows import as_int64, distinct_sorted, lower_words, text_chunks, window_hashes, word_hashes
@@ -142,10 +142,11 @@ def _differences(size: int, percent: int):
 
 
 def _prefix_lengths(members: DataFrame, percent: int) -> DataFrame:
-    """How many of its rarest elements a class has to offer: ``near`` to unlinked partners, ``far`` to linked ones.
+    """How many of its rarest elements a class has to offer, to unlinked partners (``short``, ``near``) and to linked ones (``far``).
 
-    ``h`` is the most that the class and any partner in its family may differ by.  An unlinked partner ``y`` has at least
-    ``least`` elements in ``Dy``, so ``|Dx & Dy| >= (|Dx| + least - h) / 2``.  An unlinked class shares at least ``|Dx| - h``
+    ``h`` is the most that the class and any partner in its family may differ by, so ``|Dx & Dy| >= (|Dx| + |Dy| - h) / 2``.  An unlinked
+    partner has no smaller difference where the class is the smaller one of the pair (``short``); where it is the larger
+    one, a difference of ``least`` elements in the family and of ``|Dx| - h`` at least (``near``).  An unlinked class shares ``|Dx| - h`` or more
     with a linked one.  Sets that share ``o`` elements share one of their ``|D| - o + 1`` rarest.
     """
     sizes = members.groupBy("family").agg(
@@ -154,19 +155,25 @@ def _prefix_lengths(members: DataFrame, percent: int) -> DataFrame:
     size = F.size("apart")
     largest = F.least(F.floor(F.col("n") * 100 / percent), F.col("high"))
     h = F.floor((F.col("n") + largest) * (100 - percent) / (100 + percent))
-    shared_near = F.greatest(F.lit(1), F.ceil((size + F.col("least") - h) / 2))
-    shared_far = F.greatest(F.lit(1), size - h)
+
+    def offered(shared: F.Column) -> F.Column:
+        return F.greatest(F.lit(0), size - F.greatest(F.lit(1), shared) + 1).cast("int")
+
+    unlinked = F.when(~F.col("linked"), 1).otherwise(0)
     known = members.join(sizes, "family")
     return known.select(
-        *members.columns, F.greatest(F.lit(0), size - shared_near + 1).cast("int").alias("near"),
-        F.when(F.col("linked"), 0).otherwise(F.greatest(F.lit(0), size - shared_far + 1)).cast("int").alias("far"),
+        *members.columns, size.alias("size"),
+        (unlinked * offered(F.ceil(size - h / 2))).alias("short"),
+        offered(F.ceil((size + F.greatest("least", size - h) - h) / 2)).alias("near"),
+        (unlinked * offered(size - h)).alias("far"),
     )
 
 
 def _rarest(members: DataFrame) -> DataFrame:
-    """``(family, node, linked, n, element, close)``: the rarest elements of each difference, rarity counted in the family.
+    """The rarest elements of each difference, rarity counted in the family, with their ``place`` among all its elements from 1 on.
 
-    ``close`` marks those to compare with unlinked classes; the others meet linked ones only.
+    ``shorter`` and ``longer`` mark those to compare with unlinked classes, as the smaller and as the larger one of a pair; the others meet linked
+    classes only.
     """
     elements = members.select("family", "node", F.explode("apart").alias("element"))
     counts = elements.groupBy("family", "element").agg(F.count(F.lit(1)).alias("holders"))
@@ -177,13 +184,15 @@ def _rarest(members: DataFrame) -> DataFrame:
     )
     alone = F.size("apart") - F.size("known")
     places = members.join(ranked, ["family", "node"]).select(
-        "family", "node", "linked", "n", (F.col("near") - alone).alias("near"),
+        "family", "node", "linked", "n", "size", "short", "near", alone.alias("alone"),
         F.posexplode(
             F.slice("known", F.lit(1), F.greatest(F.lit(0), F.greatest("near", "far") - alone))
-        ).alias("place", "e"),
+        ).alias("at", "e"),
     )
+    place = F.col("alone") + F.col("at") + 1
     return places.select(
-        "family", "node", "linked", "n", F.col("e.element").alias("element"), (F.col("place") < F.col("near")).alias("close")
+        "family", "node", "linked", "n", "size", F.col("e.element").alias("element"), place.alias("place"),
+        (place <= F.col("short")).alias("shorter"), (place <= F.col("near")).alias("longer"),
     )
 
 
@@ -240,17 +249,18 @@ def _links(
         if open_.isEmpty():
             return found
         index = workspace.table(_rarest(members.join(open_, "family", "left_semi")), "rarest")
-        close, linked = F.col("close") & ~F.col("linked"), F.col("linked")
+        linked = F.col("linked")
+        shorter, longer = F.col("shorter") & ~linked, F.col("longer") & ~linked
         groups = index.groupBy("family", "element").agg(
-            F.count_if(close).alias("close_n"), F.count_if(~linked).alias("open_n"), F.count_if(linked).alias("linked_n"),
-            F.min("node").alias("least"),
+            F.count_if(shorter).alias("short_n"), F.count_if(longer).alias("long_n"), F.count_if(~linked).alias("open_n"),
+            F.count_if(linked).alias("linked_n"), F.min("node").alias("least"),
         )
-        groups = groups.withColumn("inner", F.col("close_n") > 1).withColumn(
+        groups = groups.withColumn("inner", (F.col("short_n") > 0) & (F.col("long_n") > 1)).withColumn(
             "outer", (F.col("open_n") > 0) & (F.col("linked_n") > 0)
         ).where("inner OR outer")
         groups = workspace.table(groups.select(
             "family", "element", "least", "inner", "outer",
-            (F.col("inner") & (F.col("close_n") > direct)).alias("inner_crowd"),
+            (F.col("inner") & (F.least("short_n", "long_n") > direct)).alias("inner_crowd"),
             (F.col("outer") & (F.least("open_n", "linked_n") > direct)).alias("outer_crowd"),
         ), "groups")
         wanted = groups.where("(inner AND NOT inner_crowd) OR (outer AND NOT outer_crowd)").select(
@@ -261,11 +271,15 @@ def _links(
         left = few.where(~linked).alias("a")
         on = (F.col("a.family") == F.col("b.family")) & (F.col("a.element") == F.col("b.element"))
         meet = (F.col("b.linked") & F.col("a.outer")) | (
-            ~F.col("b.linked") & F.col("a.inner") & F.col("a.close") & F.col("b.close")
-            & (F.col("a.node") < F.col("b.node"))
+            ~F.col("b.linked") & F.col("a.inner") & F.col("a.shorter") & F.col("b.longer")
+            & (F.struct("a.size", "a.node") < F.struct("b.size", "b.node"))
         )
         alike = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
-        pairs = left.join(few.alias("b"), on & meet & alike).select(
+        # at the first element that both hold, no more than the shorter rest can follow
+        rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+        apart = F.floor((F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent))
+        enough = 2 * (rest + 1) >= F.col("a.size") + F.col("b.size") - apart
+        pairs = left.join(few.alias("b"), on & meet & alike & enough).select(
             F.col("a.family").alias("family"), F.col("a.node").alias("u"), F.col("b.node").alias("v")
         ).distinct()
 
@@ -281,7 +295,7 @@ def _links(
         crowded = groups.where("inner_crowd OR outer_crowd").drop("inner", "outer")
         if crowded.isEmpty():
             return found
-        inside = index.join(crowded, ["family", "element"]).where("outer_crowd OR (close AND NOT linked)")
+        inside = index.join(crowded, ["family", "element"]).where("outer_crowd OR (longer AND NOT linked)")
         inside = workspace.table(inside.select("family", "node", "least"), "crowded")
         named = inside.select(
             "node", F.col("least").alias("u"), F.col("node").alias("v")
@@ -311,13 +325,21 @@ def near_duplicates(
     spark = docs.sparkSession
     workspace = workspace or Workspace(spark)
     sketch = workspace.table(sketches(docs, size, bands, rows), "sketches")
-    classes = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("node")
-    )
+    known = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # a class is named by its smallest id, unless that is the smallest of another class too
+    texts = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    texts = workspace.table(texts.select(F.col("doc_id").alias("several")), "several")
+    unique = texts.isEmpty()
+    if unique:
+        classes = classes.withColumn("node", F.col("first"))
+    else:
+        turn = F.row_number().over(Window.partitionBy("first").orderBy("digest"))
+        classes = classes.withColumn("node", F.when(turn == 1, F.col("first")).otherwise(F.xxhash64("digest")))
     classes = workspace.table(classes, "classes")
-    # one row for each class; rows that repeat its id have the same set, so any of them will do
+    # one row for each class; rows that repeat its id and digest have the same set, so any of them will do
     one = sketch.join(
-        classes.withColumnRenamed("digest", "its"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("its"))
+        classes.withColumnRenamed("digest", "its"), (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("its"))
     )
     band_rows = one.select("node", F.posexplode("bands").alias("band", "key")).select(
         "node", F.xxhash64("band", "key").alias("key")
@@ -338,10 +360,18 @@ def near_duplicates(
         "members",
     )
     links = _links(families, store, workspace, size, percent, direct, bands * rows)
+    if not unique:
+        own = known.join(texts, F.col("doc_id") == F.col("several")).join(classes, "digest").select("doc_id", "node").distinct()
+        centre = own.groupBy("doc_id").agg(F.min("node").alias("u"))
+        links = links.unionByName(own.join(centre, "doc_id").select("u", F.col("node").alias("v")))
     linked = connected_components(links, workspace)
     named = classes.join(linked, "node", "left").select(
-        F.col("digest").alias("its"), F.coalesce("component", "node").alias("component")
+        F.col("digest").alias("its"), "first", F.coalesce("component", "node").alias("component")
     )
+    if not unique:
+        least = named.groupBy("component").agg(F.min("first").alias("least"))
+        named = named.join(least, "component").select("its", F.col("least").alias("component"))
+    named = named.select("its", "component")
     done = sketch.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("its"), "left")
     component = F.coalesce("component", "doc_id")
     return done.select(
