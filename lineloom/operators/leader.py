@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lineloom.functions.masking import WILDCARD
 from lineloom.functions.similarity import needs_ngrams, pair_similarity
+from lineloom.operators.candidates import use_index
 from lineloom.operators.matching import best_pairs, comparison, similar_pairs
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
 from lineloom.workspace import Workspace
@@ -65,7 +66,7 @@ def find_leaders(sigs: DataFrame, method: str, st: float, n: int, ws: Workspace)
 def _undecided(pool: DataFrame, fresh: DataFrame, method: str, st: float, n: int) -> DataFrame:
     # a leader with many wildcards may miss the threshold against its own text
     rest = pool.join(fresh.select(F.col("ClusterId").alias("First")), "First", "left_anti")
-    if needs_ngrams(method):
+    if needs_ngrams(method) or use_index(fresh, method, st):
         hits = similar_pairs(rest, fresh, method, st, n).select("First").distinct()
         return rest.join(hits, "First", "left_anti")
     keyed, known, similar = comparison(rest, fresh, method, st, n)
