@@ -85,8 +85,14 @@ class CentroidGraph:
         return ids, np.sqrt(np.maximum(0, 2 - 2 * nearness))  # between unit vectors; unused places are infinitely far
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by the power of two that brings its largest component to about 1: exact, no cosine changes, and no square leaves the range."""
     vectors = np.asarray(vectors, np.float64)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -151,7 +157,7 @@ def _best(k: int):
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         if not len(entries) or not len(questions):
             return empty
-        raw, asked = np.stack(entries["vector"].to_numpy()), np.stack(questions["vector"].to_numpy())
+        raw, asked = _scaled(np.stack(entries["vector"].to_numpy())), _scaled(np.stack(questions["vector"].to_numpy()))
         lengths, ids = np.sqrt((raw * raw).sum(axis=1)), entries["vec_id"].to_numpy()
         unit, out = _unit(raw), []
         for query, vector in zip(questions["query_id"].to_numpy(), asked):
@@ -181,8 +187,8 @@ def nearest_vectors(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found for each row of ``queries``, its own id left out.
 
-    Vectors that are null, zero or hold null or non-finite components take no part on either side.  All vectors must
-    have one length.  Rows that repeat an id and vector count once.
+    Vectors that are null, zero or hold null or non-finite components take no part on either side, nor do those of another length than most
+    have (of equally frequent lengths the larger one counts).  Rows that repeat an id and vector count once.
     """
     spark = vectors.sparkSession
     workspace = workspace or Workspace(spark)
@@ -191,10 +197,13 @@ def nearest_vectors(
     smallest = Window.partitionBy("vector").orderBy("vec_id")
     entries = entries.distinct().withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1).drop("nth")
     entries = workspace.table(entries, "entries")
-    count = entries.count()
+    widths = entries.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    usual = widths.orderBy(F.desc("n"), F.desc("width")).first()
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not count:
+    if usual is None:
         return empty
+    count, as_usual = usual["n"], F.size("vector") == usual["width"]
+    entries, asked = entries.where(as_usual), asked.where(as_usual)
     rows = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()
     lists = max(1, min(MOST_LISTS, count // LIST_SIZE, len(rows)))
     graph = CentroidGraph(balanced_centroids(_unit(np.array([r["vector"] for r in rows])), lists))
