@@ -1,76 +1,30 @@
 """Template mining by leaders (D3): the scalable mode.
 
 Distinct signatures are scanned in order of their first line; one that is similar to an earlier leader of its bucket
-joins it, any other becomes a leader.  Rounds give exactly that result without a sequential scan: the ``k`` earliest
-undecided signatures of every bucket are settled among themselves, the resulting leaders are compared with all
-undecided signatures at once, and those that match leave the pool.
+joins it, any other becomes a leader.  The rounds of ``earliest`` give exactly that result without a sequential scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lineloom.functions.masking import WILDCARD
-from lineloom.functions.similarity import needs_ngrams, pair_similarity
-from lineloom.operators.candidates import use_index
-from lineloom.operators.matching import best_pairs, comparison, similar_pairs
-from lineloom.plans.joins import compare_join, hot_keys, spread_join
+from lineloom.operators.earliest import find_earliest
+from lineloom.operators.matching import best_pairs, similar_pairs
+from lineloom.plans.joins import hot_keys, spread_join
 from lineloom.workspace import Workspace
 
 # Fixed value: a token that starts like this is a delimiter and outlives a mismatch.
 DELIMITER_START = r"^(\s|[|\[\]{}()])"
 
-_FIRST_HEADS = 64
-_MOST_HEADS = 1000  # at most this many rows per bucket meet in one settling task
-
 
 def find_leaders(sigs: DataFrame, method: str, st: float, n: int, ws: Workspace) -> DataFrame:
     """``(Bucket, ClusterId, Tokens)`` of all leaders; ``ClusterId`` is the leader's first line."""
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple] = []
-        rows = []
-        for row in group.sort_values("First").itertuples(index=False):
-            tokens = tuple(row.Tokens)
-            if not any(pair_similarity(lead, tokens, method, n) >= st for lead in chosen):
-                chosen.append(tokens)
-                rows.append((row.Bucket, row.First, list(tokens)))
-        return pd.DataFrame(rows, columns=["Bucket", "ClusterId", "Tokens"])
-
-    pool = sigs.select("Bucket", "First", "Tokens")
-    found: list[DataFrame] = []
-    heads = _FIRST_HEADS
-    while True:
-        order = Window.partitionBy("Bucket").orderBy("First")
-        ids = (
-            pool.select("Bucket", "First").withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= heads).select("First")
-        )
-        earliest = pool.join(ids, "First", "left_semi")
-        fresh = ws.table(
-            earliest.groupBy("Bucket").applyInPandas(
-                settle, "Bucket string, ClusterId bigint, Tokens array<string>"
-            ),
-            "leaders",
-        )
-        found.append(fresh)
-        pool = ws.table(_undecided(pool, fresh, method, st, n), "undecided", "First")
-        if pool.isEmpty():
-            return fresh if len(found) == 1 else ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
-        heads = min(2 * heads, _MOST_HEADS)
-
-
-def _undecided(pool: DataFrame, fresh: DataFrame, method: str, st: float, n: int) -> DataFrame:
-    # a leader with many wildcards may miss the threshold against its own text
-    rest = pool.join(fresh.select(F.col("ClusterId").alias("First")), "First", "left_anti")
-    if needs_ngrams(method) or use_index(fresh, method, st):
-        hits = similar_pairs(rest, fresh, method, st, n).select("First").distinct()
-        return rest.join(hits, "First", "left_anti")
-    keyed, known, similar = comparison(rest, fresh, method, st, n)
-    return compare_join(keyed, known, "Bucket", similar, "left_anti", text="Known").select(*rest.columns)
+    def reach(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        return similar_pairs(rows, leaders, method, st, n, extra=F.col("few.ClusterId") < F.col("many.First"))
+
+    return find_earliest(sigs.select("Bucket", "First", "Tokens"), reach, ws)
 
 
 def choose_leader(sigs: DataFrame, leaders: DataFrame, method: str, st: float, n: int) -> DataFrame:

@@ -76,8 +76,7 @@ def test_leader_with_hot_keys_and_no_broadcast(spark, tight_limits):
 
 
 def test_many_leader_rounds(spark, monkeypatch):
-    monkeypatch.setattr("lineloom.operators.leader._FIRST_HEADS", 1)
-    monkeypatch.setattr("lineloom.operators.leader._MOST_HEADS", 2)
+    monkeypatch.setattr("lineloom.operators.earliest.FIRST_HEADS", 1)
     messages = brute.random_messages(8, 80)
     text, _ = result(spark, messages, method="seqDist", st=0.9)
     assert text == expected(messages, brute.leader, "seqDist", 0.9)
