@@ -41,7 +41,7 @@ def _items(df: DataFrame, key: str, method: str, st: float) -> DataFrame:
     return rows.where("Prefix > 0").select(key, "Prefix", "Size", F.explode("Items").alias("Item"))
 
 
-def _prefixes(items: DataFrame, key: str) -> DataFrame:
+def prefixes(items: DataFrame, key: str) -> DataFrame:
     """``key, Item``: the rarest known items that belong to the prefix; items that no template holds take the first places."""
     ranked = items.groupBy(key, "Prefix", "Size").agg(F.array_sort(F.collect_list(F.struct("Holders", "Item"))).alias("Known"))
     places = F.col("Prefix") - (F.col("Size") - F.size("Known"))
@@ -52,8 +52,8 @@ def candidate_pairs(many: DataFrame, few: DataFrame, method: str, st: float, ws:
     """``First, ClusterId`` of every pair within a bucket that may reach ``st``, and of some more."""
     templates = ws.table(_items(few, "ClusterId", method, st), "template-items")
     holders = ws.table(templates.groupBy("Item").agg(F.count(F.lit(1)).alias("Holders")), "holders")
-    index = ws.table(_prefixes(templates.join(holders, "Item"), "ClusterId"), "index")
-    asked = ws.table(_prefixes(_items(many, "First", method, st).join(holders, "Item"), "First"), "asked")
+    index = ws.table(prefixes(templates.join(holders, "Item"), "ClusterId"), "index")
+    asked = ws.table(prefixes(_items(many, "First", method, st).join(holders, "Item"), "First"), "asked")
     hot = hot_keys(asked.groupBy("Item").agg(F.count(F.lit(1)).alias("rows")), ["Item"], "rows", 10_000)
     return spread_join(asked, index, ["Item"], hot, "First").select("First", "ClusterId").distinct()
 

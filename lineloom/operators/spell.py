@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from lineloom.functions.masking import WILDCARD
+from lineloom.operators.candidates import prefixes
+from lineloom.operators.earliest import find_earliest
 from lineloom.operators.matching import best_pairs
 from lineloom.operators.mining import Mining, label_clusters
 from lineloom.operators.words import distinct_messages, word_lines
-from lineloom.plans.joins import compare_join, hot_keys, spread_join
+from lineloom.plans.joins import hot_keys, spread_join
 from lineloom.workspace import Workspace
 
-_FIRST_HEADS = 64
-_MOST_HEADS = 512
-
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Length of the longest common subsequence, one machine-integer row at a time."""
@@ -74,45 +72,39 @@ def _marks(lead: pd.Series, weights: pd.Series, tokens: pd.Series) -> pd.Series:
     )
 
 
-def _pairs(many: DataFrame, leaders: DataFrame, tau: float) -> DataFrame:
-    """Pairs with a common subsequence of at least ``tau`` of the message; common words bound it from above."""
-    few = leaders.withColumnRenamed("Tokens", "Lead")
-    need = F.size("many.Tokens") * tau
-    common = F.size(F.filter("many.Tokens", lambda t: F.array_contains("few.Lead", t)))
-    bound = (common >= need) & (common > 0)
-    older = F.col("few.ClusterId") < F.col("many.First")
-    pairs = compare_join(many, few, "Bucket", bound & older, text="Lead")
+def _occurrences(df: DataFrame, key: str, tau: float) -> DataFrame:
+    """``key, Prefix, Size, Item``: a partner holds ``tau`` of a message's words, so it holds one of the first ``Prefix`` rarest."""
+    need = F.greatest(F.ceil(F.size("Tokens") * F.lit(tau) - 1e-9), F.lit(1))
+    rows = df.select(key, (F.size("Tokens") - need + 1).cast("int").alias("Prefix"), F.size("Tokens").alias("Size"), "Tokens")
+    return rows.where("Prefix > 0").select(key, "Prefix", "Size", F.explode(F.transform("Tokens", lambda t: F.xxhash64(t))).alias("Item"))
+
+
+def _pairs(many: DataFrame, leaders: DataFrame, tau: float, ws: Workspace) -> DataFrame:
+    """Pairs with a common subsequence of at least ``tau`` of the message, found by the rare words of the message.
+
+    Common words bound the subsequence from above; only what they leave is aligned.
+    """
+    words = leaders.select("ClusterId", F.explode(F.array_distinct(F.transform("Tokens", lambda t: F.xxhash64(t)))).alias("Item"))
+    words = ws.table(words, "leader-words")
+    holders = ws.table(words.groupBy("Item").agg(F.count(F.lit(1)).alias("Holders")), "holders")
+    asked = ws.table(prefixes(_occurrences(many, "First", tau).join(holders, "Item"), "First").distinct(), "asked")
+    hot = hot_keys(asked.groupBy("Item").agg(F.count(F.lit(1)).alias("rows")), ["Item"], "rows", 10_000)
+    met = spread_join(asked, words, ["Item"], hot, "First", condition=F.col("few.ClusterId") < F.col("many.First"))
+    met = ws.table(met.select("First", "ClusterId").distinct(), "candidates", "First")
+    lead = leaders.select("ClusterId", F.col("Tokens").alias("Lead"))
+    pairs = many.select("First", "Tokens").join(met, "First").join(lead, "ClusterId")
+    common = F.size(F.filter("Tokens", lambda t: F.array_contains("Lead", t)))
+    pairs = pairs.where((common >= F.size("Tokens") * tau) & (common > 0))
     return pairs.withColumn("Shared", _shared("Lead", "Tokens")).where(
         (F.col("Shared") >= F.size("Tokens") * tau) & (F.col("Shared") > 0)
     )
 
 
 def _leaders(sigs: DataFrame, tau: float, ws: Workspace) -> DataFrame:
-    def settle(batches):
-        rows = pd.concat(list(batches)).sort_values("First")
-        chosen: list[tuple[int, list]] = []
-        for first, tokens in zip(rows["First"], rows["Tokens"]):
-            tokens = list(tokens)
-            if not any(lcs_length(lead, tokens) >= max(1, tau * len(tokens)) for _, lead in chosen):
-                chosen.append((first, tokens))
-        yield pd.DataFrame(
-            [("", first, tokens) for first, tokens in chosen], columns=["Bucket", "ClusterId", "Tokens"]
-        )
+    def reach(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        return _pairs(rows, leaders, tau, ws)
 
-    pool = sigs.select(F.lit("").alias("Bucket"), "First", "Tokens")
-    found, heads = [], _FIRST_HEADS
-    while not pool.isEmpty():
-        # a top-k: every task keeps k rows, and k rows in all are settled
-        earliest = pool.orderBy("First").limit(heads).coalesce(1)
-        fresh = ws.table(
-            earliest.mapInPandas(settle, "Bucket string, ClusterId bigint, Tokens array<string>"), "leaders"
-        )
-        found.append(fresh)
-        rest = pool.join(fresh.select(F.col("ClusterId").alias("First")), "First", "left_anti")
-        hits = _pairs(rest, fresh, tau).select("First").distinct()
-        pool = ws.table(rest.join(hits, "First", "left_anti"), "undecided", "First")
-        heads = min(2 * heads, _MOST_HEADS)
-    return ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
+    return find_earliest(sigs.select(F.lit("").alias("Bucket"), "First", "Tokens"), reach, ws)
 
 
 def mine_spell(messages: DataFrame, tau: float = 0.5, masks: Sequence[str] = ()) -> Mining:
@@ -121,8 +113,8 @@ def mine_spell(messages: DataFrame, tau: float = 0.5, masks: Sequence[str] = ())
     sigs = distinct_messages(ws.table(word_lines(messages, masks), "lines"), ws)
     leaders = _leaders(sigs, tau, ws)
     own = leaders.select(F.col("ClusterId").alias("First"), "ClusterId")
-    others = sigs.select(F.lit("").alias("Bucket"), "First", "Tokens").join(own.select("First"), "First", "left_anti")
-    best = best_pairs(_pairs(others, leaders, tau), "Shared")
+    others = sigs.select("First", "Tokens").join(own.select("First"), "First", "left_anti")
+    best = best_pairs(_pairs(others, leaders, tau, ws), "Shared")
     choice = best.select("First", "ClusterId").unionByName(own)
     members = ws.table(sigs.select("First", "n", "Signature", "Tokens").join(choice, "First"), "members", "First")
 

@@ -1,11 +1,17 @@
 import collections
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from lineloom.operators import earliest, spell
 from lineloom.operators.drain import drain_lines, mine_drain
 from lineloom.operators.iplom import mine_iplom
+from lineloom.operators.matching import best_pairs
 from lineloom.operators.mining import mined_template_counts
 from lineloom.operators.slct import mine_slct, slct_outliers
 from lineloom.operators.spell import alignment, lcs_length, mine_spell
+from lineloom.workspace import Workspace
 
 
 def messages(spark, contents):
@@ -80,3 +86,27 @@ def test_spell_templates(spark):
     got = counts(mine_spell(messages(spark, rows), 0.5))
     assert got["job <*> of queue <*> took <*> ms"] == 40
     assert got["link <*> down"] >= 2
+
+
+@pytest.mark.parametrize("tau,heads", [(0.5, 4), (0.8, 64)])
+def test_spell_leaders_equal_a_scan(spark, monkeypatch, tau, heads):
+    monkeypatch.setattr(earliest, "FIRST_HEADS", heads)
+    rng = random.Random(6)
+    words = ["a", "b", "c", "<*>"] + [f"w{i}" for i in range(12)]
+    rows = [[rng.choice(words) for _ in range(rng.randint(0, 8))] for _ in range(90)]
+    leaders, home = [], {}
+    for i, tokens in enumerate(rows):
+        scores = [(lcs_length(lead, tokens), -first) for first, lead in leaders]
+        score, first = max([s for s in scores if s[0] >= max(1, tau * len(tokens))], default=(0, -i))
+        if not score:
+            leaders.append((i, tokens))
+    for i, tokens in enumerate(rows):  # the best of all earlier leaders
+        scores = [(lcs_length(lead, tokens), -first) for first, lead in leaders if first < i]
+        home[i] = -max([s for s in scores if s[0] >= max(1, tau * len(tokens))], default=(0, -i))[1]
+    sigs = spark.createDataFrame(list(enumerate(rows)), "First bigint, Tokens array<string>").repartition(3)
+    ws = Workspace(spark)
+    found = spell._leaders(sigs, tau, ws)
+    assert sorted(r.ClusterId for r in found.collect()) == [first for first, _ in leaders]
+    others = sigs.join(found.select(F.col("ClusterId").alias("First")), "First", "left_anti")
+    best = {r.First: r.ClusterId for r in best_pairs(spell._pairs(others, found, tau, ws), "Shared").collect()}
+    assert best == {i: h for i, h in home.items() if h != i}
