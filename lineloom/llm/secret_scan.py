@@ -3,10 +3,11 @@
 Built-in functions only, one pass, no shuffle.  Patterns give positions without a matcher of their own: the text is split at the matches,
 and the lengths of pieces and matches add up to the places.
 
-Candidate strings are long runs of key characters that hold a digit.  A window slides over each; characters are
-counted as they enter and leave, so ``sum(c * log2(c))`` is kept by increments and the Shannon entropy of every window is
-``log2(w) - sum / w``.  A candidate whose best window reaches the threshold of its character class is a span, unless the
-allow-list knows it or a base span covers it.
+Base spans and allow-list matches are blanked out, place by place, and what is left of a run of key characters is judged by
+itself, so a random part keeps its span beside a path, a known key or a row of equal letters.  Candidates are the runs of 20 and more
+that hold a digit and are no name made of words.  A window slides over each; characters are counted as they enter and leave, so
+``sum(c * log2(c))`` is kept by increments and the Shannon entropy of every window is ``log2(w) - sum / w``.  A candidate whose best window
+reaches the threshold of its character class is a span.
 """
 
 from __future__ import annotations
@@ -43,21 +44,32 @@ CLASSES = (
     CharacterClass(r"^[0-9A-Fa-f]+$", 20, 2.9),
     CharacterClass(r"^[A-Za-z0-9+/_=-]+$", 20, 3.6),
 )
-#: Placeholders, and names made of words: these are no secrets
-ALLOWED = (r"(?i)example|placeholder|changeme|dummy|sample", r"(.)\1{5,}", r"^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$")
+#: Placeholders: what matches is no part of a secret
+ALLOWED = (r"(?i)example|placeholder|changeme|dummy|sample", r"(.)\1{5,}")
+#: Runs that are names made of words
+NAMES = r"^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$"
 
 _SPAN = "array<struct<start:int,rank:int,stop:int,found:string>>"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
-    """All matches: ``start``, ``rank``, ``stop`` and the text of ``group``."""
+    """All matches: ``start``, ``rank``, ``stop`` and the text of ``group``.
+
+    Pieces and matches are added up in blocks of the square root of their number, then the blocks: a list that grows by one copy a match would
+    make the work quadratic.
+    """
     lengths = lambda parts: F.transform(parts, F.length)
-    found = F.arrays_zip(
+    pieces = F.arrays_zip(
         lengths(F.split(text, pattern, -1)).alias("gap"),
         lengths(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("width"),
         F.regexp_extract_all(text, F.lit(pattern), group).alias("found"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    none = F.array().cast(_SPAN)
 
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + x["gap"]
@@ -68,8 +80,36 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
         last = x["width"].isNull()  # what follows the last match
         return F.struct(end.alias("at"), F.when(last, done["spans"]).otherwise(F.concat(done["spans"], one)).alias("spans"))
 
-    spans = F.aggregate(found, start, step, lambda done: done["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    def blocks(all_pieces: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(all_pieces))).cast("int")
+        count = F.ceil(F.size(all_pieces) / block).cast("int")
+        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        return F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda k: F.aggregate(F.slice(all_pieces, k * block + 1, block), start, step),
+        )
+
+    def placed(done: Column) -> Column:
+        ends = F.aggregate(done, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["at"])))
+        moved = F.zip_with(done, F.slice(ends, F.lit(1), F.size(done)), lambda x, at: F.transform(x["spans"], lambda s: F.struct(
+            (s["start"] + at).alias("start"), s["rank"].alias("rank"), (s["stop"] + at).alias("stop"), s["found"].alias("found")
+        )))
+        return F.flatten(moved).cast(_SPAN)
+
+    spans = _bound(_bound(pieces, blocks), placed)
+    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+
+def _blanked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """``text`` with blanks in place of all matches whose ``group`` has ``least`` characters: every place stays where it is."""
+    parts = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"),
+        F.regexp_extract_all(text, F.lit(pattern), group).alias("value"),
+    )
+    blank = lambda x: F.when(F.length(x["value"]) >= least, F.repeat(F.lit(" "), F.length(x["found"]))).otherwise(x["found"])
+    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(blank(x), F.lit("")))), "")
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def window_entropy(value: Column, window: int) -> Column:
@@ -115,26 +155,25 @@ def _is_random(value: Column, classes: Sequence[CharacterClass]) -> Column:
 
 
 def find_secrets(
-    docs: DataFrame, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED
+    docs: DataFrame, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, names: str = NAMES
 ) -> DataFrame:
     """``doc_id, base, extra`` for every row: sorted spans (code points, end exclusive) of the base kinds and of the method.
 
-    A null or empty text has none.  Rows are read one by one, so repeated rows agree.
+    Parts of a run that match ``allowed`` and runs that match ``names`` are no secrets.  A null or empty text has none.  Rows are read
+    one by one, so repeated rows agree.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(_spans(text, ASSIGN, 0, 2), lambda s: F.length(s["found"]) >= ASSIGN_LEAST)
     base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
+    found = docs.select("doc_id", base.alias("base"), _blanked(text, ASSIGN, 2, ASSIGN_LEAST).alias("rest"))
+    # a step of its own for each pattern: the text before it is read several times
+    for pattern in (ACCESS, HEX, *allowed):
+        found = found.select("doc_id", "base", _blanked(F.col("rest"), pattern).alias("rest"))
 
     def wanted(s: Column) -> Column:
-        test = s["found"].rlike("[0-9]")
-        for pattern in allowed:
-            test = test & ~s["found"].rlike(pattern)
-        return test & _is_random(s["found"], classes)
-
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return docs.select("doc_id", base.alias("base"), text.alias("searched")).select(
-        "doc_id", "base", F.filter(_spans(F.col("searched"), CANDIDATE, 3), lambda s: F.when(free(s), wanted(s)).otherwise(False)).alias("extra")
-    )
+        return F.when(s["found"].rlike("[0-9]") & ~s["found"].rlike(names), _is_random(s["found"], classes)).otherwise(F.lit(False))
+
+    return found.select("doc_id", "base", F.filter(_spans(F.col("rest"), CANDIDATE, 3), wanted).alias("extra"))
 
 
 def _joined(spans: Column) -> Column:
