@@ -44,8 +44,9 @@ CLASSES = (
     CharacterClass(r"^[0-9A-Fa-f]+$", 20, 2.9),
     CharacterClass(r"^[A-Za-z0-9+/_=-]+$", 20, 3.6),
 )
-#: Placeholders: what matches is no part of a secret
-ALLOWED = (r"(?i)example|placeholder|changeme|dummy|sample", r"(.)\1{5,}")
+#: Placeholders: what matches is no part of a secret.  A word takes the letters and digits around it along, up to the next separator; it is
+#: looked for from the start of these only, so a long run costs one pass.
+ALLOWED = (r"(?i)(?<![a-z0-9])[a-z0-9]*?(?:example|placeholder|changeme|dummy|sample)[a-z0-9]*", r"(.)\1{5,}")
 #: Runs that are names made of words
 NAMES = r"^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$"
 

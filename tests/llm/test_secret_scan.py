@@ -73,7 +73,7 @@ def test_random_part_is_found_beside_known_parts(spark, before):
 
 
 def test_names_and_placeholders_are_no_secrets(spark):
-    texts = ["release-notes-for-users-2024", "EXAMPLE-changeme-123-dummy-77", "g7" + "G" * 40]
+    texts = ["release-notes-for-users-2024", "EXAMPLE-changeme-123-dummy-77", "g7" + "G" * 40, f"example{RANDOM}"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.spans for r in secret_report(find_secrets(df)).collect()} == {""}
 
