@@ -59,6 +59,11 @@ def _contracted(edges: DataFrame, count: int) -> DataFrame:
     return edges.coalesce(-(-count // CHUNK) or 1).mapInArrow(_contract, "u bigint, v bigint")
 
 
+def contracted_by(edges: DataFrame, key: str) -> DataFrame:
+    """Stars with the same components, contracted by the tasks that hold the edges ``u, v`` of one key together."""
+    return edges.repartition(key).select("u", "v").mapInArrow(_contract, "u bigint, v bigint")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -6,12 +6,15 @@ neighbouring windows with the same minimizer form one *stretch*, identified by t
 words at its source coordinates.
 
 1. One pass gives every stretch its coordinates.  Stretches whose minimizer occurs once hold no repeated edge and go.
-2. Equal stretches are one class.  All edges of a class with several places are repeated.  Neighbouring classes
-   whose end and start are the same set of places form a nonbranching path, and a join on that shared node compacts them
-   (``repeated_paths``).
-3. Where different classes share a minimizer, the graph branches: only there the single edges are needed.  One place of each
-   such class is read again from its source coordinates and cut into windows, which are counted.
-4. The word ranges of repeated edges, by document, are removed from the texts.
+2. Equal stretches are one class.  One place of each class is read again from its source coordinates and becomes segments of the
+   graph: where no other class has the minimizer, the whole class is one segment; where classes share it, every window is a
+   segment of its own.  Segments with several places stay.
+3. A whole class is cut at an inner node where a segment of another minimizer ends or starts.  Such a node has the minimizer of
+   the class it lies in, so a join by minimizer finds it; from then on every branch is the end of a segment.
+4. A node (``window - 1`` words) that exactly one segment enters and exactly one leaves does not branch.  Joins on these nodes compact
+   the segments to paths: tasks contract the links of the documents they hold, star rounds join what is left.
+5. Paths go back to the places of their classes; neighbouring pieces of one path become one span of the document, and spans are
+   removed from the texts.
 
 A repeated edge has the same minimizer everywhere, so none is missed.  Classes are counted before they are shuffled, and
 only joins see a minimizer or stretch that very many documents hold.
@@ -27,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from lineloom.llm.components import connected_components, contracted_by
 from lineloom.llm.rows import as_int64, row_key, text_chunks, window_hashes, word_hashes, words
 from lineloom.workspace import Workspace
 
@@ -120,19 +124,50 @@ def _unpack(packed: bytes) -> list[bytes]:
     return text.split(b" ") if text else []
 
 
-def _edges(window: int):
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first[i]`` and the numbers after it, ``count[i]`` of them, for every i."""
+    ends = np.cumsum(count)
+    return np.arange(int(count.sum())) + np.repeat(first - (ends - count), count)
+
+
+def _cut(window: int, seed_words: int):
+    """Segments of the classes of a document: heads, tails and inner nodes by the words at the source coordinates."""
+    seed_words = min(seed_words, window)
+    per_node = window - seed_words  # pieces of a node
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, packed in enumerate(batch.column("packed").to_pylist()):
-                hashes = window_hashes(word_hashes(_unpack(packed)), window)
-                parts = batch.column("parts")[i].as_py()
-                places = np.concatenate([np.arange(p["first"], p["last"] + 1) for p in parts])
-                seeds = np.concatenate([np.full(p["last"] - p["first"] + 1, p["minimizer"]) for p in parts])
-                which = pa.array(np.full(len(places), i))
+                hashes = word_hashes(_unpack(packed))
+                edges, nodes = as_int64(window_hashes(hashes, window)), as_int64(window_hashes(hashes, window - 1))
+                if per_node:
+                    pieces = window_hashes(hashes, seed_words)
+                    least = as_int64(pieces[_minimizer_places(pieces, per_node)])
+                else:
+                    least = np.zeros(len(nodes), np.int64)
+                parts = batch.column("parts")[i].values
+                first, last, minimizer, digest, places, whole = (
+                    parts.field(k).to_numpy(zero_copy_only=False)
+                    for k in ("first", "last", "minimizer", "digest", "places", "whole")
+                )
+                first, last, whole = first.astype(np.int64), last.astype(np.int64), whole.astype(bool)
+                count = np.where(whole, 1, last - first + 1)
+                of = np.repeat(np.arange(len(first)), count)
+                begin = _runs(first, count)
+                end = np.where(whole[of], last[of], begin)
+                inside = end - begin
+                inner = pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum(inside)].astype(np.int32)), pa.array(nodes[_runs(begin + 1, inside)])
+                )
+                which = pa.array(np.full(len(of), i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(which), batch.column("row_key").take(which),
-                     pa.array(places.astype(np.int32)), pa.array(seeds), pa.array(as_int64(hashes[places]))],
-                    ["doc_id", "row_key", "first", "minimizer", "edge"],
+                    [batch.column("doc_id").take(which), batch.column("row_key").take(which), pa.array(minimizer[of]),
+                     pa.array(digest[of]), pa.array((begin - first[of]).astype(np.int32)),
+                     pa.array((end - first[of]).astype(np.int32)), pa.array(np.where(whole[of], digest[of], edges[begin])),
+                     pa.array(whole[of]), pa.array(places[of]), pa.array(nodes[begin]), pa.array(nodes[end + 1]),
+                     pa.array(least[begin]), pa.array(least[end + 1]), inner],
+                    ["doc_id", "row_key", "minimizer", "digest", "from", "to", "name", "whole", "places", "head", "tail",
+                     "head_seed", "tail_seed", "inner"],
                 )
 
     return run
@@ -156,74 +191,136 @@ def _classes(docs: DataFrame, workspace: Workspace, window: int, seed_words: int
     return kept, workspace.table(classes, "classes")
 
 
+def _segments(docs: DataFrame, classes: DataFrame, workspace: Workspace, window: int, seed_words: int) -> DataFrame:
+    """Repeated segments as pieces of the classes that hold them: ``minimizer, digest, from, to, segment, head, tail, places, at``.
+
+    ``from`` and ``to`` count windows from the start of the class; ``places`` counts all places of the segment; ``at`` is the
+    document of its first one.  A segment that several classes hold has a row for each.
+    """
+    branching = classes.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(
+        "minimizer", F.lit(False).alias("whole")
+    )
+    sorted_out = classes.join(branching, "minimizer", "left").withColumn("whole", F.coalesce("whole", F.lit(True)))
+    parts = sorted_out.where("places > 1 OR NOT whole").groupBy("at.doc_id", "at.row_key").agg(
+        F.collect_list(F.struct("at.first", "at.last", "minimizer", "digest", "places", "whole")).alias("parts")
+    )
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + T._parse_datatype_string(
+        "row_key bigint, minimizer bigint, digest bigint, from int, to int, name bigint, whole boolean, places bigint, "
+        "head bigint, tail bigint, head_seed bigint, tail_seed bigint, inner array<bigint>"
+    ).fields)
+    sources = parts.alias("p").join(_packed(docs).alias("d"), _same_row("p", "d"))
+    pieces = workspace.table(sources.select("p.*", "d.packed").mapInArrow(_cut(window, seed_words), schema), "pieces")
+    at = F.struct("doc_id", "row_key")
+
+    edges = pieces.where(~F.col("whole"))
+    # repeated rows give their pieces twice, but all places were counted with the class; a class holds an edge once
+    counted = edges.dropDuplicates(["minimizer", "name", "digest"]).groupBy("minimizer", "name").agg(
+        F.sum("places").alias("places"), F.min(at).alias("at")
+    ).where("places > 1")
+    single = workspace.table(
+        edges.drop("places").join(counted, ["minimizer", "name"]).select(
+            "minimizer", "digest", "from", "to", F.xxhash64("minimizer", "name").alias("segment"), "head", "tail", "places",
+            "at", "head_seed", "tail_seed",
+        ), "single-edges",
+    )
+    # nodes at which a segment of another minimizer ends or starts
+    whole = pieces.where("whole")
+    ends = None
+    for table in (single, whole):
+        for side in ("head", "tail"):
+            one = table.where(F.col(f"{side}_seed") != F.col("minimizer")).select(
+                F.col(f"{side}_seed").alias("minimizer"), F.col(side).alias("node")
+            )
+            ends = one if ends is None else ends.unionByName(one)
+    cuts = whole.select("minimizer", "digest", "inner").join(ends.distinct(), "minimizer").select(
+        "minimizer", "digest", F.array_position("inner", F.col("node")).cast("int").alias("cut")
+    ).where("cut > 0").groupBy("minimizer", "digest").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    bounds = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.col("to") + 1))
+    cut = whole.join(cuts, ["minimizer", "digest"], "left").withColumn("bounds", bounds).select(
+        "*", F.posexplode(F.slice("bounds", 1, F.size("bounds") - 1)).alias("nth", "begin")
+    ).withColumn("end", F.col("bounds")[F.col("nth") + 1])
+    cut = cut.select(
+        "minimizer", "digest", F.col("begin").alias("from"), (F.col("end") - 1).alias("to"),
+        F.xxhash64("minimizer", "digest", "begin").alias("segment"),
+        F.when(F.col("begin") == 0, F.col("head")).otherwise(F.get("inner", F.col("begin") - 1)).alias("head"),
+        F.when(F.col("end") > F.col("to"), F.col("tail")).otherwise(F.get("inner", F.col("end") - 1)).alias("tail"),
+        "places", at.alias("at"),
+    )
+    return workspace.table(single.drop("head_seed", "tail_seed").unionByName(cut), "segments")
+
+
+def _compacted(segments: DataFrame, workspace: Workspace) -> DataFrame:
+    """``segment, path`` for every segment: segments that nodes without a branch connect are one path."""
+    distinct = segments.groupBy("segment").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("at").alias("at"))
+    distinct = workspace.table(distinct, "distinct-segments")
+    none = F.lit(None).cast("bigint")
+    touched = distinct.select(F.col("tail").alias("node"), F.col("segment").alias("enters"), none.alias("leaves"), "at").unionByName(
+        distinct.select(F.col("head").alias("node"), none.alias("enters"), F.col("segment").alias("leaves"), "at")
+    )
+    links = touched.groupBy("node").agg(
+        F.count("enters").alias("ways_in"), F.count("leaves").alias("ways_out"), F.min("enters").alias("u"),
+        F.min("leaves").alias("v"), F.min("at").alias("at"),
+    ).where("ways_in = 1 AND ways_out = 1 AND u != v")
+    paths = connected_components(contracted_by(links, "at"), workspace)
+    return distinct.select("segment").join(paths, F.col("segment") == F.col("node"), "left").select(
+        "segment", F.coalesce("component", "segment").alias("path")
+    )
+
+
 def repeated_paths(
     docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, workspace: Workspace | None = None
 ) -> DataFrame:
-    """Maximal nonbranching repeated paths: ``doc_id, row_key, first, last`` of the first place, ``places``, ``n_words``.
+    """Maximal nonbranching paths of the graph of repeated windows: ``path, n_edges, n_words, places``.
 
-    Two classes are joined into one path if the end of the one and the start of the other are the same node: the same set of
-    places, told by count and by two sums of hashed coordinates.
+    ``n_edges`` are its distinct windows, ``n_words`` the words they cover in a row, ``places`` those of its most frequent window.
     """
     workspace = workspace or Workspace(docs.sparkSession)
-    kept, _ = _classes(docs, workspace, window, seed_words)
+    _, classes = _classes(docs, workspace, window, seed_words)
+    segments = _segments(docs, classes, workspace, window, seed_words)
+    each = segments.groupBy("segment").agg(F.max("places").alias("places"), F.max(F.col("to") - F.col("from") + 1).alias("edges"))
+    return each.join(_compacted(segments, workspace), "segment").groupBy("path").agg(
+        F.sum("edges").alias("n_edges"), (F.sum("edges") + window - 1).alias("n_words"), F.max("places").alias("places")
+    )
 
-    def places_sum(position) -> F.Column:
-        return F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", "row_key", position), 34))
 
-    nodes = kept.groupBy("minimizer", "digest").agg(
-        F.count(F.lit(1)).alias("places"), F.min(F.struct("doc_id", "row_key", "first", "last")).alias("at"),
-        places_sum(F.col("first")).alias("starts"), places_sum(F.col("last") + 1).alias("ends"),
-    ).where("places > 1")
-    nodes = workspace.table(nodes.select("at.*", "places", "starts", "ends"), "nodes")
-    before = nodes.select(
-        F.col("doc_id").alias("p_doc"), F.col("row_key").alias("p_key"), (F.col("last") + 1).alias("p_end"),
-        F.col("places").alias("p_places"), F.col("ends").alias("p_ends"),
+def repeated_spans(
+    docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, workspace: Workspace | None = None
+) -> DataFrame:
+    """``doc_id, row_key, first, last, path``: runs of windows (first and last) of a document that follow one repeated path."""
+    workspace = workspace or Workspace(docs.sparkSession)
+    kept, classes = _classes(docs, workspace, window, seed_words)
+    segments = _segments(docs, classes, workspace, window, seed_words)
+    pieces = segments.join(_compacted(segments, workspace), "segment").select("minimizer", "digest", "from", "to", "path")
+    # pieces of one path inside a class, at most as many as a window has minimizers
+    along = Window.partitionBy("minimizer", "digest").orderBy("from")
+    new = (F.lag("path").over(along) != F.col("path")) | (F.lag("to").over(along) + 1 < F.col("from"))
+    pieces = pieces.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn(
+        "run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ).groupBy("minimizer", "digest", "run").agg(
+        F.min("from").alias("from"), F.max("to").alias("to"), F.first("path").alias("path")
     )
-    joined = nodes.join(
-        before,
-        F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("row_key") == F.col("p_key"))
-        & (F.col("first") == F.col("p_end")) & (F.col("places") == F.col("p_places"))
-        & (F.col("starts") == F.col("p_ends")),
-        "left",
-    ).withColumn("head", F.col("p_key").isNull().cast("int"))
-    along = Window.partitionBy("doc_id", "row_key", "places").orderBy("first")  # within one document
-    paths = joined.withColumn("path", F.sum("head").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    paths = paths.groupBy("doc_id", "row_key", "places", "path").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return paths.select(
-        "doc_id", "row_key", "first", "last", "places", (F.col("last") - F.col("first") + window).alias("n_words")
+    found = kept.join(workspace.table(pieces, "path-pieces"), ["minimizer", "digest"]).select(
+        "doc_id", "row_key", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"), "path"
     )
+    # neighbours of one path are one span; equal rows give their pieces twice
+    line = Window.partitionBy("doc_id", "row_key").orderBy("first", "last")
+    new = (F.lag("path").over(line) != F.col("path")) | (F.lag("last").over(line) + 1 < F.col("first"))
+    return found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn(
+        "run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    ).groupBy("doc_id", "row_key", "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.first("path").alias("path")
+    ).drop("run")
 
 
 def repeated_ranges(
     docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, workspace: Workspace | None = None
 ) -> DataFrame:
-    """``doc_id, row_key, ranges``: runs of windows (first and last) of the document that occur elsewhere too."""
+    """``doc_id, row_key, ranges``: the spans of ``repeated_spans`` by document."""
     workspace = workspace or Workspace(docs.sparkSession)
-    kept, classes = _classes(docs, workspace, window, seed_words)
-    # whole classes with several places
-    several = classes.where("places > 1").select("minimizer", "digest")
-    whole = kept.join(several, ["minimizer", "digest"], "left_semi").select("doc_id", "row_key", "first", "last")
-    # branches: minimizers of several classes
-    branching = classes.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("minimizer")
-    parts = classes.join(branching, "minimizer", "left_semi").select("at.*", "minimizer").groupBy("doc_id", "row_key").agg(
-        F.collect_list(F.struct("first", "last", "minimizer")).alias("parts")
-    )
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row_key", T.LongType()),
-        T.StructField("first", T.IntegerType()), T.StructField("minimizer", T.LongType()),
-        T.StructField("edge", T.LongType()),
-    ])
-    # repeated rows have the same text: one of them is enough, its places were counted above
-    sources = parts.alias("p").join(_packed(docs).alias("d"), _same_row("p", "d")).select("p.*", "d.packed")
-    edges = workspace.table(sources.mapInArrow(_edges(window), schema).distinct(), "edges")
-    shared = edges.groupBy("minimizer", "edge").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
-    single = edges.join(shared.select("minimizer", "edge"), ["minimizer", "edge"], "left_semi").select(
-        "doc_id", "row_key", "first", F.col("first").alias("last")
-    )
-    runs = whole.unionByName(single).groupBy("doc_id", "row_key").agg(
-        F.collect_set(F.struct("first", "last")).alias("ranges")
+    spans = repeated_spans(docs, window, seed_words, workspace).groupBy("doc_id", "row_key").agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")
     )
-    return workspace.table(runs, "ranges")
+    return workspace.table(spans, "ranges")
 
 
 def _remove(window: int):
