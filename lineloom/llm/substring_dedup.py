@@ -246,24 +246,38 @@ def _segments(docs: DataFrame, classes: DataFrame, workspace: Workspace, window:
         F.when(F.col("end") > F.col("to"), F.col("tail")).otherwise(F.get("inner", F.col("end") - 1)).alias("tail"),
         "places", at.alias("at"),
     )
-    return workspace.table(single.drop("head_seed", "tail_seed").unionByName(cut), "segments")
+    segments = workspace.table(single.drop("head_seed", "tail_seed").unionByName(cut), "segments")
+    workspace.drop(pieces)
+    workspace.drop(single)
+    return segments
 
 
 def _compacted(segments: DataFrame, workspace: Workspace) -> DataFrame:
-    """``segment, path`` for every segment: segments that nodes without a branch connect are one path."""
+    """``segment, path`` for segments that nodes without a branch connect; every other segment is a path by itself.
+
+    A task contracts the links of its documents to stars.  A segment has at most two links, so it is in at most two stars;
+    only where these differ do their centres go to the star rounds.
+    """
     distinct = segments.groupBy("segment").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("at").alias("at"))
-    distinct = workspace.table(distinct, "distinct-segments")
     none = F.lit(None).cast("bigint")
-    touched = distinct.select(F.col("tail").alias("node"), F.col("segment").alias("enters"), none.alias("leaves"), "at").unionByName(
-        distinct.select(F.col("head").alias("node"), none.alias("enters"), F.col("segment").alias("leaves"), "at")
-    )
+    touched = distinct.select("at", F.inline(F.array(
+        F.struct(F.col("tail").alias("node"), F.col("segment").alias("enters"), none.alias("leaves")),
+        F.struct(F.col("head").alias("node"), none.alias("enters"), F.col("segment").alias("leaves")),
+    )))
     links = touched.groupBy("node").agg(
         F.count("enters").alias("ways_in"), F.count("leaves").alias("ways_out"), F.min("enters").alias("u"),
         F.min("leaves").alias("v"), F.min("at").alias("at"),
     ).where("ways_in = 1 AND ways_out = 1 AND u != v")
-    paths = connected_components(contracted_by(links, "at"), workspace)
-    return distinct.select("segment").join(paths, F.col("segment") == F.col("node"), "left").select(
-        "segment", F.coalesce("component", "segment").alias("path")
+    stars = contracted_by(links, "at").select(F.explode(F.array(
+        F.struct(F.col("u").alias("segment"), F.col("v").alias("centre")),
+        F.struct(F.col("v").alias("segment"), F.col("v").alias("centre")),
+    )).alias("s")).select("s.*")
+    held = workspace.table(
+        stars.groupBy("segment").agg(F.min("centre").alias("low"), F.max("centre").alias("high")), "stars"
+    )
+    joined = connected_components(held.where("low != high").select(F.col("low").alias("u"), F.col("high").alias("v")), workspace)
+    return held.join(joined, F.col("low") == F.col("node"), "left").select(
+        "segment", F.coalesce("component", "low").alias("path")
     )
 
 
@@ -278,7 +292,8 @@ def repeated_paths(
     _, classes = _classes(docs, workspace, window, seed_words)
     segments = _segments(docs, classes, workspace, window, seed_words)
     each = segments.groupBy("segment").agg(F.max("places").alias("places"), F.max(F.col("to") - F.col("from") + 1).alias("edges"))
-    return each.join(_compacted(segments, workspace), "segment").groupBy("path").agg(
+    along = each.join(_compacted(segments, workspace), "segment", "left")
+    return along.groupBy(F.coalesce("path", "segment").alias("path")).agg(
         F.sum("edges").alias("n_edges"), (F.sum("edges") + window - 1).alias("n_words"), F.max("places").alias("places")
     )
 
@@ -290,7 +305,9 @@ def repeated_spans(
     workspace = workspace or Workspace(docs.sparkSession)
     kept, classes = _classes(docs, workspace, window, seed_words)
     segments = _segments(docs, classes, workspace, window, seed_words)
-    pieces = segments.join(_compacted(segments, workspace), "segment").select("minimizer", "digest", "from", "to", "path")
+    pieces = segments.join(_compacted(segments, workspace), "segment", "left").select(
+        "minimizer", "digest", "from", "to", F.coalesce("path", "segment").alias("path")
+    )
     # pieces of one path inside a class, at most as many as a window has minimizers
     along = Window.partitionBy("minimizer", "digest").orderBy("from")
     new = (F.lag("path").over(along) != F.col("path")) | (F.lag("to").over(along) + 1 < F.col("from"))
