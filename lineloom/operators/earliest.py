@@ -55,26 +55,45 @@ def independent(rows: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def find_earliest(pool: DataFrame, reach: Reach, ws: Workspace, heads: int | None = None) -> DataFrame:
-    """``Bucket, ClusterId, Tokens`` of all leaders of ``pool`` (``Bucket, First, Tokens``); ``ClusterId`` is the leader's first line."""
+    """``Bucket, ClusterId`` and the text column of all leaders of ``pool`` (``Bucket, First`` and ``Tokens`` or ``Signature``);
+    ``ClusterId`` is the leader's first line.
+
+    What ``reach`` returns is written before it is called again.  A round's tables go with the round; only leaders and undecided rows stay.
+    """
     found: list[DataFrame] = []
     heads = heads or FIRST_HEADS
+    text = [c for c in pool.columns if c not in ("Bucket", "First")]
+    undecided = None
     while True:
-        ids = earliest_rows(pool, heads)
-        earliest = ws.table(pool.join(ids, "First", "left_semi").select("Bucket", "First", "Tokens"), "heads", "First")
+        step = Workspace(ws.spark)
+        ids = step.table(earliest_rows(pool, heads), "ids")
+        earliest = step.table(pool.join(ids, "First", "left_semi").select("Bucket", "First", *text), "heads", "First")
         as_leaders = earliest.withColumnRenamed("First", "ClusterId")
-        edges = ws.table(reach(earliest, as_leaders).select("First", "ClusterId"), "edges")
-        chosen = independent(earliest.select("First"), edges, ws)
+        edges = step.table(reach(earliest, as_leaders).select("First", "ClusterId"), "edges")
+        dense = edges.count() > DENSE * earliest.count()
+        chosen = independent(earliest.select("First"), edges, step)
         fresh = ws.table(
-            as_leaders.join(chosen.withColumnRenamed("First", "ClusterId"), "ClusterId", "left_semi").select("Bucket", "ClusterId", "Tokens"),
+            as_leaders.join(chosen.withColumnRenamed("First", "ClusterId"), "ClusterId", "left_semi").select("Bucket", "ClusterId", *text),
             "leaders",
         )
         found.append(fresh)
-        rest = pool.join(earliest.select("First"), "First", "left_anti")
+        rest = pool.join(ids, "First", "left_anti")
         if not rest.isEmpty():
-            hits = reach(rest, fresh).select("First").distinct()
+            hits = step.table(reach(rest, fresh).select("First").distinct(), "hits")
             rest = ws.table(rest.join(hits, "First", "left_anti"), "undecided", "First")
-        if rest.isEmpty():
-            return fresh if len(found) == 1 else ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
-        pool = rest
-        dense = edges.count() > DENSE * earliest.count()
+            done = rest.isEmpty()
+        else:
+            done = True
+        if undecided is not None:
+            ws.drop(undecided)
+        step.close()
+        ws.sweep()
+        if done:
+            if len(found) == 1:
+                return fresh
+            leaders = ws.table(reduce(DataFrame.unionByName, found), "all-leaders")
+            for table in found:
+                ws.drop(table)
+            return leaders
+        pool = undecided = rest
         heads = max(FIRST_HEADS, heads // 2) if dense else 2 * heads

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lineloom.functions.masking import WILDCARD
+from lineloom.functions.masking import SEP, WILDCARD, marked_to_tokens
 from lineloom.operators.earliest import find_earliest
 from lineloom.operators.matching import best_pairs, similar_pairs
+from lineloom.operators.messages import with_tokens
 from lineloom.plans.joins import hot_keys, spread_join
 from lineloom.workspace import Workspace
 
@@ -19,21 +20,27 @@ DELIMITER_START = r"^(\s|[|\[\]{}()])"
 
 
 def find_leaders(sigs: DataFrame, method: str, st: float, n: int, ws: Workspace) -> DataFrame:
-    """``(Bucket, ClusterId, Tokens)`` of all leaders; ``ClusterId`` is the leader's first line."""
+    """``(Bucket, ClusterId, Signature)`` of all leaders; ``ClusterId`` is the leader's first line."""
+    scratch = Workspace(ws.spark)
 
     def reach(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-        return similar_pairs(rows, leaders, method, st, n, extra=F.col("few.ClusterId") < F.col("many.First"))
+        scratch.close()  # what the call before left has been read
+        return _earlier_pairs(rows, leaders, method, st, n, scratch)
 
-    return find_earliest(sigs.select("Bucket", "First", "Tokens"), reach, ws)
+    leaders = find_earliest(sigs.select("Bucket", "First", "Signature"), reach, ws)
+    scratch.close()
+    return leaders
 
 
-def choose_leader(sigs: DataFrame, leaders: DataFrame, method: str, st: float, n: int) -> DataFrame:
+def _earlier_pairs(rows: DataFrame, leaders: DataFrame, method: str, st: float, n: int, ws: Workspace) -> DataFrame:
+    many, few = with_tokens(rows).drop("Signature"), with_tokens(leaders).drop("Signature")
+    return similar_pairs(many, few, method, st, n, extra=F.col("few.ClusterId") < F.col("many.First"), ws=ws)
+
+
+def choose_leader(sigs: DataFrame, leaders: DataFrame, method: str, st: float, n: int, ws: Workspace) -> DataFrame:
     """``(First, ClusterId)``: the most similar earlier leader, the oldest on ties; a leader keeps itself."""
     others = sigs.join(leaders.select(F.col("ClusterId").alias("First")), "First", "left_anti")
-    pairs = similar_pairs(
-        others.select("Bucket", "First", "Tokens"), leaders, method, st, n,
-        extra=F.col("few.ClusterId") < F.col("many.First"),
-    )
+    pairs = _earlier_pairs(others.select("Bucket", "First", "Signature"), leaders, method, st, n, ws)
     own = leaders.select(F.col("ClusterId").alias("First"), "ClusterId")
     return best_pairs(pairs).select("First", "ClusterId").unionByName(own)
 
@@ -56,19 +63,21 @@ def merge_template(members: DataFrame, delimiters: bool = True) -> DataFrame:
 
     The pairwise rule folded over all messages of a cluster depends only on two things: at which positions any
     message differs from the leader, and the newest message.  Only differing positions are exploded, and all
-    aggregates are over integers.
+    aggregates are over integers.  Messages travel as marked strings, a third of their tokens.
     """
+    members = members.withColumn("Signature", F.array_join("Tokens", SEP)).drop("Tokens")
     leaders = members.where(F.col("First") == F.col("ClusterId")).select(
-        "Bucket", "ClusterId", F.col("Tokens").alias("Lead")
+        "Bucket", "ClusterId", F.col("Signature").alias("Lead")
     )
     newest = members.groupBy("ClusterId").agg(
         F.max_by("First", "Last").alias("Newest"), F.max("Last").alias("Last"), F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("size"),
     )
-    followers = members.where(F.col("First") != F.col("ClusterId")).select("First", "ClusterId", "Tokens")
+    followers = members.where(F.col("First") != F.col("ClusterId")).select("First", "ClusterId", "Signature")
     hot = hot_keys(newest, ["ClusterId"], "size", 10_000)
     varying = (
         spread_join(followers, leaders.drop("Bucket"), ["ClusterId"], hot, "First")
+        .select("ClusterId", marked_to_tokens(F.col("Lead")).alias("Lead"), marked_to_tokens(F.col("Signature")).alias("Tokens"))
         .select(
             "ClusterId",
             F.explode(
@@ -84,10 +93,11 @@ def merge_template(members: DataFrame, delimiters: bool = True) -> DataFrame:
         .distinct()
         .groupBy("ClusterId").agg(F.collect_list("Pos").alias("Varying"))
     )
-    newest_tokens = members.select(F.col("First").alias("Newest"), F.col("Tokens").alias("Fresh"))
+    newest_tokens = members.select(F.col("First").alias("Newest"), F.col("Signature").alias("Fresh"))
     rows = (
         leaders.join(newest, "ClusterId").join(newest_tokens, "Newest").join(varying, "ClusterId", "left")
         .withColumn("Varying", F.coalesce("Varying", F.array().cast("array<int>")))
+        .withColumn("Fresh", marked_to_tokens(F.col("Fresh")))
     )
     tokens = F.transform(
         "Fresh",
@@ -107,17 +117,21 @@ def mine_leaders(
     refine: bool = False,
     delimiters: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(First -> ClusterId, clusters)`` for a written signature table with tokens."""
+    """``(First, Signature, n, ClusterId; clusters)`` for a written signature table, which nothing has to read afterwards."""
     leaders = find_leaders(sigs, method, st, n, ws)
-    choice = choose_leader(sigs, leaders, method, st, n)
+    scratch = Workspace(ws.spark)
+    choice = choose_leader(sigs, leaders, method, st, n, scratch)
     members = ws.table(
-        sigs.select("Bucket", "First", "Last", "n", "Tokens").join(choice, "First"), "members", "First"
+        sigs.select("Bucket", "First", "Last", "n", "Signature").join(choice, "First"), "members", "First"
     )
-    clusters = merge_template(members, delimiters)
-    mapping = members.select("First", "ClusterId")
+    scratch.close()
+    ws.drop(leaders)
+    ws.sweep()
+    clusters = merge_template(with_tokens(members), delimiters)
+    mapping = members.select("First", "Signature", "n", "ClusterId")
     if refine:
-        as_sigs = ws.table(clusters.withColumnRenamed("ClusterId", "First"), "templates")
-        again, clusters = mine_leaders(as_sigs, method, st, n, ws, delimiters=delimiters)
+        as_sigs = clusters.withColumnRenamed("ClusterId", "First").withColumn("Signature", F.array_join("Tokens", SEP))
+        again, clusters = mine_leaders(ws.table(as_sigs.drop("Tokens"), "templates"), method, st, n, ws, delimiters=delimiters)
         again = again.select(F.col("First").alias("ClusterId"), F.col("ClusterId").alias("Final"))
-        mapping = mapping.join(again, "ClusterId").select("First", F.col("Final").alias("ClusterId"))
+        mapping = mapping.join(again, "ClusterId").select("First", "Signature", "n", F.col("Final").alias("ClusterId"))
     return mapping, clusters

@@ -14,12 +14,13 @@ from lineloom.workspace import Workspace
 
 
 def similar_pairs(
-    many: DataFrame, few: DataFrame, method: str, st: float, n: int, extra: Column | None = None, spread: str = "First"
+    many: DataFrame, few: DataFrame, method: str, st: float, n: int, extra: Column | None = None, spread: str = "First",
+    ws: Workspace | None = None,
 ) -> DataFrame:
     """``(many.*, ClusterId, Known, Score)`` for all pairs of a bucket that reach ``st``; ``extra`` compares ``few.ClusterId`` and ``many.First``.
 
     Buckets with many templates are searched through an index of rare tokens, others pair by pair.
-    ``few`` has ``Bucket, ClusterId, Tokens``.  What the JVM can compute is computed there; an n-gram ratio is asked for
+    ``few`` has ``Bucket, ClusterId, Tokens``; tables that the result reads go to ``ws``.  What the JVM can compute is computed there; an n-gram ratio is asked for
     only where its upper bound reaches ``st`` and exceeds the other measures, since elsewhere it changes nothing.
     """
     indexed = use_index(few, method, st)
@@ -27,7 +28,8 @@ def similar_pairs(
     t, m = F.col("few.Known"), F.col("many.Tokens")
     condition = F.when(F.size(t) == 0, F.size(m) == 0).otherwise(reach)
     if indexed:
-        return score_pairs(indexed_join(many, few, method, st, condition, extra, Workspace(many.sparkSession)), method, st, n)
+        ws = ws or Workspace(many.sparkSession)
+        return score_pairs(indexed_join(many, few, method, st, condition, extra, ws), method, st, n)
     if extra is not None:
         condition = extra & condition  # the cheap part first
     return score_pairs(compare_join(many, few, "Bucket", condition, "inner", spread, "Known"), method, st, n)

@@ -43,18 +43,21 @@ def mine_templates(
     mismatch, ``joint`` is put between the tokens of a rendered template.
     """
     ws = Workspace(lines.sparkSession)
-    sigs = ws.table(with_tokens(signature_table(lines)), "signatures", "First")
+    sigs = ws.table(signature_table(lines), "signatures", "First")
     if mode == "leader":
         mapping, clusters = mine_leaders(sigs, method, st, n, ws, refine, delimiters)
-        members = sigs.select("Signature", "n", "First").join(mapping, "First").drop("First")
+        ws.drop(sigs)
+        members = mapping.select("Signature", "n", "ClusterId")
         key = "Signature"
     elif mode == "sequential":
-        members, clusters = mine_sequential(lines, sigs, method, st, n, ws, window, known, delimiters)
+        members, clusters = mine_sequential(lines, with_tokens(sigs), method, st, n, ws, window, known, delimiters)
         members = members.withColumn("n", F.lit(1).cast("bigint"))
         key = "LineId"
     else:
         raise ValueError(f"mode must be 'leader' or 'sequential', not {mode!r}")
-    return Mining(members, ws.table(label_clusters(clusters, joint), "rendered"), key)
+    mining = Mining(members, ws.table(label_clusters(clusters, joint), "rendered"), key)
+    ws.sweep()
+    return mining
 
 
 def label_clusters(clusters: DataFrame, joint: str = "") -> DataFrame:
@@ -78,6 +81,7 @@ def assign_templates(lines: DataFrame, mining: Mining, extra: DataFrame | None =
         ),
         "labelled",
     )
+    ws.sweep()
     hot = hot_keys(labelled, [mining.key], "n") if mining.key == "Signature" else None
     return spread_join(lines, labelled.drop("n", "ClusterId"), [mining.key], hot, "LineId")
 

@@ -8,6 +8,7 @@ decides between a broadcast and a shuffle join.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,11 @@ class Workspace:
             if "/lineloom-" in file:
                 self._delete(file)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are over: its cleaner follows the driver's garbage collections."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         """Delete everything below this workspace."""
         self._delete(self.root)

@@ -57,3 +57,22 @@ def test_candidates_follow_rare_tokens(spark):
     assert candidates.use_index(right, "seqDist", 0.6)
     assert not candidates.use_index(right, "ngram", 0.6) and not candidates.use_index(right, "seqDist", 0.0)
     assert candidates.candidate_pairs(left, right, "seqDist", 0.6, Workspace(spark)).count() < len(many) * len(few) / 5
+
+
+@pytest.mark.parametrize("method", ["seqDist", "jaccard"])
+@pytest.mark.parametrize("st", [0.2, 0.5, 0.9])
+def test_blanks_come_last_and_lose_no_pair(spark, monkeypatch, method, st):
+    monkeypatch.setattr(candidates, "DIRECT", 0)
+    spaced = lambda rows: [" \u0001".join(f"{t}\u0001" for t in row).rstrip("\u0001").split("\u0001") for row in rows if row]
+    many, few = spaced(sequences(5, 120, False)), spaced(sequences(6, 60, True)) + [["a", "  ", " "], [" ", " ", " "]]
+    many += [[" ", " ", " "], ["b", " ", " "]]
+    left, right = tables(spark, many, few)
+    found = {(r.First, r.ClusterId) for r in similar_pairs(left, right, method, st, 3).collect()}
+    want = {
+        (i, j) for i, m in enumerate(many) for j, t in enumerate(few)
+        if len(m) == len(t) and pair_similarity(tuple(t), tuple(m), method, 3) >= st
+    }
+    assert found == want
+    if st == 0.5:  # a prefix that ends before the blanks asks for none
+        first = candidates._items(left.where(F.array_contains("Tokens", "a")), "First", "seqDist", st)
+        assert first.where("Blank AND Prefix <= Size").isEmpty()

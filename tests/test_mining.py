@@ -171,3 +171,16 @@ def test_two_files_whose_line_numbers_meet(spark, tmp_path):
     assert [r[:2] for r in rows] == [("a.log", 1), ("a.log", 2), ("b.log", 1), ("b.log", 2), ("b.log", 3)]
     assert len(set(r[2] for r in rows)) == 2
     assert sorted(r.Occurrences for r in parsed.templates.collect()) == [2, 3]
+
+
+def test_rounds_leave_no_tables_behind(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("lineloom.operators.earliest.FIRST_HEADS", 4)
+    monkeypatch.setattr("lineloom.operators.candidates.DIRECT", 0)
+    monkeypatch.setattr("lineloom.workspace.shared_dir", lambda spark: str(tmp_path))
+    messages = brute.random_messages(10, 120)
+    text, mining = result(spark, messages, method="seqDist", st=0.8)
+    assert text == expected(messages, brute.leader, "seqDist", 0.8)
+    left = {path.name.split("-", 1)[1] for path in tmp_path.glob("lineloom-*/*")}
+    assert left == {"members", "rendered", "labelled"}
+    # members hold a message once: its tokens are cut from it when they are needed
+    assert "Tokens" not in spark.read.parquet(str(next(tmp_path.glob("*/*-members")))).columns
