@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from lineloom.functions.masking import SEP, WILDCARD
@@ -16,6 +18,11 @@ def _char_class(chars: str) -> str:
     return "".join("\\" + ch for ch in chars)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` reads it, inside functions over arrays too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def message_tokens(col: Column) -> Column:
     """Words and the kept punctuation of a message; neighbouring wildcards become one."""
     runs = f"(?U)([\\s{_char_class(MESSAGE_PUNCTUATION)}]+)"
@@ -27,17 +34,25 @@ def message_tokens(col: Column) -> Column:
     )
     # a run of other blanks (tabs, line ends) stays as an empty token
     words = F.transform(F.filter(cleaned, lambda t: t != ""), strip_blanks)
-    return F.filter(
-        words,
-        lambda t, i: ~((t == WILDCARD) & (F.coalesce(F.get(words, i - 1), F.lit("")) == WILDCARD)),
-    )
+
+
+    def collapsed(words: Column) -> Column:
+        return F.filter(
+            words,
+            lambda t, i: ~((t == WILDCARD) & (F.coalesce(F.get(words, i - 1), F.lit("")) == WILDCARD)),
+        )
+
+    return _once(words, collapsed)
 
 
 def template_similarity(a: Column, b: Column) -> Column:
     """Shared distinct tokens over both lengths less the shared ones.  NULL when both are empty."""
-    x, y = message_tokens(a), message_tokens(b)
-    shared = F.size(F.array_intersect(x, y))
-    return F.try_divide(shared.cast("double"), (F.size(x) + F.size(y) - shared).cast("double"))
+
+    def ratio(x: Column, y: Column) -> Column:
+        sizes = F.size(x) + F.size(y)
+        return _once(F.size(F.array_intersect(x, y)), lambda shared: F.try_divide(shared.cast("double"), (sizes - shared).cast("double")))
+
+    return _once(F.struct(message_tokens(a).alias("x"), message_tokens(b).alias("y")), lambda pair: ratio(pair["x"], pair["y"]))
 
 
 def event_id(col: Column) -> Column:
