@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from lineloom.functions.masking import SEP, WILDCARD
@@ -62,17 +66,57 @@ def sequence_ratio(first: list, second: list, n: int) -> float:
     return SequenceMatcher(None, *grams).ratio()
 
 
+#: Shapes whose ratio a task remembers, and the most tokens of such a pair.
+SHAPES = 10_000
+SHAPE_TOKENS = 256
+
+
+def shaped_ratio(n: int) -> Callable[[Sequence, Sequence], float]:
+    """``sequence_ratio`` that computes each *shape* of a pair once.
+
+    The ratio depends on nothing but which tokens of the two lists are equal, and lines of one kind share that whatever their values are.
+    """
+
+    @lru_cache(SHAPES)
+    def of_shape(size: int, shape: tuple) -> float:
+        return sequence_ratio(shape[:size], shape[size:], n)
+
+    def ratio(first: Sequence, second: Sequence) -> float:
+        size = len(first)
+        if size < n or len(second) < n:
+            return 0.0
+        if size + len(second) > SHAPE_TOKENS:
+            return sequence_ratio(first, second, n)
+        numbers: dict = {}
+        number = numbers.setdefault
+        return of_shape(size, tuple([number(token, len(numbers)) for token in chain(first, second)]))
+
+    return ratio
+
+
+def _numbered(*columns: pa.ListArray) -> list[list]:
+    """The rows of each column as lists of numbers, equal for equal tokens anywhere; None for null."""
+    values = pa.concat_arrays([column.values for column in columns])
+    numbers = pc.dictionary_encode(values, null_encoding="encode").indices.to_numpy().tolist()
+    rows, start = [], 0
+    for column in columns:
+        ends = [start + end for end in column.offsets.to_numpy().tolist()]
+        gone = column.is_null().to_numpy(zero_copy_only=False).tolist()
+        rows.append([None if null else numbers[a:b] for a, b, null in zip(ends, ends[1:], gone)])
+        start += len(column.values)
+    return rows
+
+
 def ngram_similarity(template: Column, message: Column, n: int = 3) -> Column:
     """C2.  The recursive longest-block rule has no expression form, so this is the one Arrow UDF here."""
 
-    @F.pandas_udf("double")
-    def ratio(t: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if a is None or b is None else sequence_ratio(list(a), list(b), n) for a, b in zip(t, m)],
-            dtype="float64",
-        )
+    @F.arrow_udf("double")
+    def ratios(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ratio = shaped_ratio(n)
+        for t, m in batches:
+            yield pa.array([None if a is None or b is None else ratio(a, b) for a, b in zip(*_numbered(t, m))], pa.float64())
 
-    return ratio(template, message)
+    return ratios(template, message)
 
 
 def native_similarity(method: str, template: Column, message: Column) -> Column:

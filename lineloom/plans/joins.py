@@ -13,6 +13,9 @@ BROADCAST_ROWS = 500_000
 # Keys below this many rows are never worth splitting.
 HOT_ROWS = 200_000
 
+# Several tasks a core, so that one that is slow does not hold the stage.
+TASKS_A_CORE = 4
+
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys that hold more than one task's share of the rows, as ``(__hash, __copies)``; None where there is none.
@@ -100,9 +103,9 @@ def compare_join(
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Deal a source that arrives in fewer splits than there are cores (one big row group, say) over all of them.
+    """Deal a source that arrives in few splits for the cores (one big row group, say) over ``TASKS_A_CORE`` tasks a core.
 
     A source with enough splits is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)

@@ -139,3 +139,28 @@ def test_correction_equals_stepwise(spark):
 def test_tokens_restore_the_text(spark, rows):
     done = on_text(spark, rows, lambda c: text.render_template(masking.tokenize(c, r"(\s+|\[|\]|=)")))
     assert done == rows
+
+
+def test_message_tokens_are_computed_once(spark):
+    df = spark.createDataFrame([("a <*> <*> b, c", "a <*> b"), (None, "a"), ("", " ")], "a string, b string")
+    plan = lambda column: df.select(column.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    # a cleaning pattern for each text, not one for every use of its tokens
+    assert plan(text.message_tokens(F.col("a"))).count("regexp_replace") == 1
+    assert plan(text.template_similarity(F.col("a"), F.col("b"))).count("regexp_replace") == 2
+    assert [r[0] for r in df.select(text.template_similarity(F.col("a"), F.col("b"))).collect()] == [0.75, None, None]
+
+
+def test_ngram_ratio_is_computed_once_a_shape(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [([rng.choice("abc") for _ in range(rng.randrange(9))], [rng.choice("abc") for _ in range(rng.randrange(9))]) for _ in range(200)]
+    pairs += [([str(i % 5), " "] * 110, [str(i % 3), " ", "x"] * 90) for i in range(3)] + [(None, ["a", "b"]), (["a", None, "b"], ["a", None])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, t array<string>, m array<string>")
+    for n in (2, 3):
+        got = {r.i: r.s for r in df.select("i", similarity.ngram_similarity(F.col("t"), F.col("m"), n).alias("s")).collect()}
+        assert got == {i: None if t is None else similarity.sequence_ratio(t, m, n) for i, (t, m) in enumerate(pairs)}
+    calls = []
+    whole = similarity.sequence_ratio
+    monkeypatch.setattr(similarity, "sequence_ratio", lambda *args: calls.append(args) or whole(*args))
+    ratio = similarity.shaped_ratio(2)
+    assert {ratio(["page", "<*>", "to", "<*>"], ["page", str(i), "to", f"u{i}"]) for i in range(50)} == {0.0}
+    assert len(calls) == 1
