@@ -29,6 +29,9 @@ from lineloom.workspace import Workspace
 CLUSTER_SCHEMA = "Bucket string, ClusterId bigint, Tokens array<string>"
 _DELIMITER = re.compile(DELIMITER_START)
 
+#: Messages that a replay remembers while its templates stay as they are; a message that was forgotten is compared again.
+SETTLED = 10_000
+
 
 class Replay:
     """The templates of one bucket, and the rule that takes in the next message."""
@@ -38,13 +41,12 @@ class Replay:
         self.clusters: list[list] = [[cid, tuple(tokens)] for cid, tokens in sorted(clusters)]
         self.measure = (method, n)
         self.st = st
-        self._version = 0
-        self._settled: dict[tuple, tuple[int, int]] = {}
+        self._settled: dict[tuple, int] = {}
 
     def take(self, line_id: int, tokens: tuple) -> int:
         known = self._settled.get(tokens)
-        if known is not None and known[0] == self._version:
-            return known[1]
+        if known is not None:
+            return known
         home, best = None, -1.0
         for cluster in self.clusters:
             score = pair_similarity(cluster[1], tokens, *self.measure) if tokens else 1.0
@@ -53,7 +55,7 @@ class Replay:
         if home is None:
             home = [line_id, tokens]
             self.clusters.append(home)
-            self._version += 1
+            self._settled.clear()
             return line_id
         merged = tuple(
             new if new == old or (self.delimiters and _DELIMITER.match(new)) else WILDCARD
@@ -61,9 +63,11 @@ class Replay:
         )
         if " ".join(merged) != " ".join(home[1]):
             home[1] = merged
-            self._version += 1
+            self._settled.clear()
         else:
-            self._settled[tokens] = (self._version, home[0])
+            if len(self._settled) >= SETTLED:
+                self._settled.clear()
+            self._settled[tokens] = home[0]
         return home[0]
 
 

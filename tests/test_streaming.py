@@ -1,6 +1,7 @@
 import brute
 from lineloom.operators.mining import assign_templates, mine_templates
 from lineloom.operators.messages import partition_by_length, preprocess
+from lineloom.operators.sequential import Replay
 from lineloom.plans.presets import Preset
 from lineloom.streaming.counts import template_counts_stream
 from lineloom.streaming.mining import TemplateStream, assign_stream, state_store_options
@@ -86,3 +87,17 @@ def test_running_counts(spark, tmp_path):
     )
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("running").collect()} == {("i", "a", 2), ("j", "b", 1)}
+
+
+def test_a_replay_forgets(monkeypatch):
+    monkeypatch.setattr("lineloom.operators.sequential.SETTLED", 20)
+    replay = Replay([], "seqDist", 0.5, 3)
+    homes = {replay.take(i, ("user", f"u{i}", "left")) for i in range(500)}
+    assert homes == {0} and len(replay._settled) <= 20
+    replay.take(500, ("disk", "full", "again"))  # a new template: nothing settled before it holds
+    assert not replay._settled
+    messages = brute.random_messages(24, 300)
+    by_length = {}
+    home = {line: by_length.setdefault(len(t), Replay([], "seqDist", 0.7, 3)).take(line, tuple(t)) for line, t in messages}
+    assert home == brute.sequential(messages, "seqDist", 0.7, 3)[0]
+    assert all(len(r._settled) <= 20 for r in by_length.values())
