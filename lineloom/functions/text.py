@@ -18,7 +18,7 @@ def _char_class(chars: str) -> str:
     return "".join("\\" + ch for ch in chars)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, however often ``use`` reads it, inside functions over arrays too."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -42,7 +42,7 @@ def message_tokens(col: Column) -> Column:
             lambda t, i: ~((t == WILDCARD) & (F.coalesce(F.get(words, i - 1), F.lit("")) == WILDCARD)),
         )
 
-    return _once(words, collapsed)
+    return once(words, collapsed)
 
 
 def template_similarity(a: Column, b: Column) -> Column:
@@ -50,9 +50,9 @@ def template_similarity(a: Column, b: Column) -> Column:
 
     def ratio(x: Column, y: Column) -> Column:
         sizes = F.size(x) + F.size(y)
-        return _once(F.size(F.array_intersect(x, y)), lambda shared: F.try_divide(shared.cast("double"), (sizes - shared).cast("double")))
+        return once(F.size(F.array_intersect(x, y)), lambda shared: F.try_divide(shared.cast("double"), (sizes - shared).cast("double")))
 
-    return _once(F.struct(message_tokens(a).alias("x"), message_tokens(b).alias("y")), lambda pair: ratio(pair["x"], pair["y"]))
+    return once(F.struct(message_tokens(a).alias("x"), message_tokens(b).alias("y")), lambda pair: ratio(pair["x"], pair["y"]))
 
 
 def event_id(col: Column) -> Column:

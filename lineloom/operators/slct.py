@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lineloom.functions.masking import WILDCARD
+from lineloom.functions.text import once
+from lineloom.operators.messages import with_tokens
 from lineloom.operators.mining import Mining, label_clusters
-from lineloom.operators.words import distinct_messages, word_lines
+from lineloom.operators.words import word_lines
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
 from lineloom.workspace import Workspace
 
@@ -22,24 +24,28 @@ def mine_slct(
     general one that covers it.
     """
     ws = Workspace(messages.sparkSession)
-    sigs = distinct_messages(ws.table(word_lines(messages, masks), "lines"), ws)
-    cells = sigs.select("First", "n", F.posexplode("Tokens").alias("Pos", "Word"))
+    sigs = word_lines(messages, masks).groupBy("Signature").agg(F.count(F.lit(1)).alias("n"), F.min("LineId").alias("First"))
+    sigs = ws.table(sigs.withColumn("Hash", F.xxhash64("Signature")), "distinct-messages")
+    cells = with_tokens(sigs).select("First", "Hash", "n", F.size("Tokens").alias("Size"), F.posexplode("Tokens").alias("Pos", "Word"))
     frequent = ws.table(
         cells.groupBy("Pos", "Word").agg(F.sum("n").alias("Lines"), F.count(F.lit(1)).alias("Cells"))
         .where(F.col("Lines") > support),
         "frequent-words",
     )
     kept = spread_join(
-        cells.select("First", "Pos", "Word"), frequent.select("Pos", "Word"), ["Pos", "Word"],
-        hot_keys(frequent, ["Pos", "Word"], "Cells"), "First",
-    )
-    # only frequent words come back to their message: at most one row per word of it
-    words = kept.groupBy("First").agg(F.map_from_entries(F.collect_list(F.struct("Pos", "Word"))).alias("Words"))
-    described = sigs.join(words, "First").select(
-        "Bucket", "First", "n", "Signature",
-        F.transform("Tokens", lambda t, i: F.coalesce(F.try_element_at("Words", i), F.lit(WILDCARD))).alias("Tokens"),
+        cells, frequent.select("Pos", "Word"), ["Pos", "Word"], hot_keys(frequent, ["Pos", "Word"], "Cells"), "Hash",
     )
+    # only frequent words come back to their message: at most one row per word of it; its other words are wildcards
+    words = kept.groupBy("First", "Hash", "n", "Size").agg(F.map_from_entries(F.collect_list(F.struct("Pos", "Word"))).alias("Words"))
+
+    def described_by(words):
+        every = F.sequence(F.lit(0), F.col("Size") - 1)
+        return F.transform(every, lambda i: F.coalesce(F.try_element_at(words, i), F.lit(WILDCARD)))
+
+    tokens = once(F.col("Words"), described_by).alias("Tokens")
+    described = words.select(F.col("Size").cast("string").alias("Bucket"), "First", "Hash", "n", tokens)
     described = ws.table(described, "described")
+    ws.sweep()
     candidates = (
         described.groupBy("Bucket", "Tokens").agg(
             F.sum("n").alias("n"), F.min("First").alias("ClusterId"), F.count(F.lit(1)).alias("Cells")
@@ -48,8 +54,10 @@ def mine_slct(
     candidates = ws.table(candidates, "candidates")
     members = spread_join(
         described, candidates.select("Bucket", "Tokens", "ClusterId"), ["Bucket", "Tokens"],
-        hot_keys(candidates, ["Bucket", "Tokens"], "Cells"), "First",
-    ).select("Signature", "n", "ClusterId")
+        hot_keys(candidates, ["Bucket", "Tokens"], "Cells"), "Hash",
+    ).select("First", "Hash", "n", "ClusterId")
+    # the hash alone could collide
+    members = sigs.select("First", "Hash", "Signature").join(members, ["First", "Hash"]).select("Signature", "n", "ClusterId")
     clusters = candidates.select("Bucket", "ClusterId", "Tokens")
     if combine:
         target = ws.table(_most_general(candidates), "combined")

@@ -110,3 +110,17 @@ def test_spell_leaders_equal_a_scan(spark, monkeypatch, tau, heads):
     others = sigs.join(found.select(F.col("ClusterId").alias("First")), "First", "left_anti")
     best = {r.First: r.ClusterId for r in best_pairs(spell._pairs(others, found, tau, ws), "Shared").collect()}
     assert best == {i: h for i, h in home.items() if h != i}
+
+
+def test_slct_writes_a_message_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("lineloom.workspace.shared_dir", lambda spark: str(tmp_path))
+    rows = [f"send block {i} now" for i in range(30)] + ["", "rare words here"]
+    df = messages(spark, rows)
+    assert counts(mine_slct(df, 20)) == {"send block <*> now": 30}
+    tables = {p.name.split("-", 1)[1]: spark.read.parquet(str(p)).columns for p in tmp_path.glob("lineloom-*/*")}
+    assert set(tables) == {"distinct-messages", "frequent-words", "described", "candidates", "rendered"}
+    assert [name for name, columns in tables.items() if "Signature" in columns] == ["distinct-messages"]
+    assert "Tokens" not in tables["distinct-messages"]
+    # lines that share a number stay apart
+    twice = df.withColumn("LineId", F.col("LineId") % 2)
+    assert counts(mine_slct(twice, 20)) == {"send block <*> now": 30}
