@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lineloom.functions.similarity import (
-    native_similarity, needs_ngrams, ngram_bound, ngram_similarity, ngrams,
+    native_similarity, needs_ngrams, ngram_bound, ngram_hashes, ngram_similarity,
 )
 from lineloom.operators.candidates import indexed_join, use_index
 from lineloom.operators.messages import signature_table, with_tokens
@@ -44,8 +44,8 @@ def comparison(
     t, m = F.col("few.Known"), F.col("many.Tokens")
     reach = native_similarity(method, t, m) >= st
     if needs_ngrams(method):
-        many = many.withColumn("Grams", ngrams(F.col("Tokens"), n))
-        few = few.withColumn("KnownGrams", ngrams(F.col("Known"), n))
+        many = many.withColumn("Grams", ngram_hashes(F.col("Tokens"), n))
+        few = few.withColumn("KnownGrams", ngram_hashes(F.col("Known"), n))
         reach = reach | (ngram_bound(F.col("few.KnownGrams"), F.col("many.Grams")) >= st)
     return many, few, reach
 

@@ -103,9 +103,9 @@ def compare_join(
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Deal a source that arrives in few splits for the cores (one big row group, say) over ``TASKS_A_CORE`` tasks a core.
+    """Deal a source that arrives in fewer splits than there are cores (one big row group, say) over ``TASKS_A_CORE`` tasks a core.
 
     A source with enough splits is left as it is.
     """
-    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(TASKS_A_CORE * cores, key)

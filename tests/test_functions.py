@@ -164,3 +164,13 @@ def test_ngram_ratio_is_computed_once_a_shape(spark, monkeypatch):
     ratio = similarity.shaped_ratio(2)
     assert {ratio(["page", "<*>", "to", "<*>"], ["page", str(i), "to", f"u{i}"]) for i in range(50)} == {0.0}
     assert len(calls) == 1
+
+
+def test_ngram_bound_on_numbers(spark):
+    rng = random.Random(9)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randrange(9))], [rng.choice("abcd") for _ in range(rng.randrange(9))]) for _ in range(150)]
+    df = spark.createDataFrame(pairs, "t array<string>, m array<string>")
+    grams = df.select("t", "m", similarity.ngram_hashes(F.col("t"), 2).alias("a"), similarity.ngram_hashes(F.col("m"), 2).alias("b"))
+    assert dict(grams.dtypes)["a"] == "array<bigint>"
+    for r in grams.withColumn("bound", similarity.ngram_bound(F.col("a"), F.col("b"))).collect():
+        assert similarity.sequence_ratio(r.t, r.m, 2) <= r.bound <= 1.0
