@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from lineloom.operators import evaluation
+from lineloom.plans import benchmark
 from lineloom.plans.benchmark import Labelled, benchmark_suite
 from lineloom.plans.presets import Preset
 
@@ -85,3 +87,16 @@ def test_benchmark_suite(spark):
     rows = benchmark_suite({"one": Labelled(messages, truth, Preset("", st=0.5, method="seqDist"))}).collect()
     assert [r.Dataset for r in rows] == ["one", "Average"]
     assert all(r.GA == r.FGA == r.FTA == 1.0 and r.P_Time > 0 for r in rows)
+
+
+def test_one_log_under_two_labels_is_parsed_once(spark, monkeypatch):
+    parses = []
+    whole = benchmark.parse_messages
+    monkeypatch.setattr(benchmark, "parse_messages", lambda *args: parses.append(1) or whole(*args))
+    log = spark.createDataFrame([(1, "a 1"), (2, "a 2")], "LineId bigint, Content string")
+    right = spark.createDataFrame([(1, "a <*>"), (2, "a <*>")], "LineId bigint, EventTemplate string")
+    preset = Preset("", st=0.5, method="seqDist")
+    wrong = right.withColumn("EventTemplate", F.concat("EventTemplate", F.col("LineId").cast("string")))
+    suite = {name: benchmark.Labelled(log, truth, preset) for name, truth in (("right", right), ("wrong", wrong))}
+    got = {r.Dataset: r.PTA for r in benchmark.benchmark_suite(suite).collect()}
+    assert got == {"right": 1.0, "wrong": 0.0, "Average": 0.5} and len(parses) == 1
