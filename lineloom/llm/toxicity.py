@@ -5,13 +5,16 @@ document's is their noisy-or, ``1 - prod(1 - p)``.  Only document labels are nee
 document falls mainly on the sentences that explain its label, so the model learns which sentences offend.
 
 The model is fitted on a bounded sample of labelled documents (``sample`` of either class at most, none longer than
-``sample_chars``); class weights restore the proportions of all labelled rows.  Scoring reads every whole text once,
+``sample_chars``); class weights restore the proportions of all labelled rows.  Tasks number the features of the sample, and
+the driver holds 4 bytes for each of a sentence, without the texts.  Scoring reads every whole text once,
 with no shuffle; the model that travels to the tasks is bounded by the sample.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lineloom.llm.rows import carried, distinct_sorted
+from lineloom.llm.rows import carried
+from lineloom.workspace import Workspace
 
 SAMPLE = 2_000
 SAMPLE_CHARS = 20_000
@@ -31,6 +35,8 @@ OFFENSIVE = 0.5
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 300_000
+_PIECES = 24  # files of the sample
+_BLOCK = 1 << 18  # features that are handled at a time
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -53,66 +59,109 @@ class ToxicityModel:
         return sum(weights[f] for f in word_features(word) if f in weights)
 
 
-def _bags(texts: list[str], min_docs: int):
-    """Feature numbers of all sentences in one array, with the sentence and document each belongs to.
+@dataclass
+class Bags:
+    """Neighbouring documents of a sample: numbers of features, sentence by sentence; how many each sentence has; how many sentences each document has."""
+    features: np.ndarray
+    lengths: np.ndarray
+    counts: np.ndarray
+
+
+def _sentence_words(text: str | None) -> Iterator[set[str]]:
+    return (set(_WORDS.findall(text[start:end].lower())) for start, end in sentences(text))
+
+
+def _document_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every feature of a task's texts and how many of these hold it."""
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            own = set().union(*_sentence_words(text))
+            counts.update({f for word in own for f in word_features(word)})
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"]
+    )
 
-    Words are numbered as they come and their features worked out once; the rest is done on arrays of numbers.
-    """
-    numbers: dict[str, int] = {}
-    words, counts, owners = [], [], []
-    for d, text in enumerate(texts):
-        for start, end in sentences(text):
-            found = [numbers.setdefault(w, len(numbers)) for w in set(_WORDS.findall(text[start:end].lower()))]
-            words.extend(found)
-            counts.append(len(found))
-            owners.append(d)
-    features = [word_features(w) for w in numbers]
-    names = sorted({f for own in features for f in own})
-    place = {f: i for i, f in enumerate(names)}
-    sizes = np.array([len(own) for own in features], np.int64)
-    flat = np.array([place[f] for own in features for f in own], np.int64)
-    first = np.cumsum(sizes) - sizes
-    words, owners = np.array(words, np.int64), np.array(owners, np.int64)
-    # every word gives way to its features: (sentence, feature), each once
-    width, spread = max(1, len(names)), sizes[words]
-    offset = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-    held = flat[np.repeat(first[words], spread) + offset]
-    sentence = np.repeat(np.repeat(np.arange(len(counts)), np.array(counts, np.int64)), spread)
-    sentence, feature = np.divmod(distinct_sorted(sentence * width + held), width)
-    docs = np.bincount(distinct_sorted(owners[sentence] * width + feature) % width, minlength=width)
-    frequent = docs >= min_docs
-    kept = frequent[feature]
-    names = [f for f, often in zip(names, frequent) if often]
-    lengths = np.bincount(sentence[kept], minlength=len(counts))
-    return names, (np.cumsum(frequent) - 1)[feature[kept]], lengths, owners
+
+def _number(names: list[str]):
+    """Numbers of the features ``names`` in each sentence, each once and in order, and how many a sentence has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: i for i, f in enumerate(names)}
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            features, lengths = [], []
+            for text in batch.column("text").to_pylist():
+                own, sizes = array("i"), array("i")
+                for words in _sentence_words(text):
+                    held: set[int] = set()
+                    for word in words:
+                        numbers = known.get(word)
+                        if numbers is None:
+                            if len(known) >= _CACHE_WORDS:
+                                known.clear()
+                            numbers = known[word] = [place[f] for f in word_features(word) if f in place]
+                        held.update(numbers)
+                    own.extend(sorted(held))
+                    sizes.append(len(held))
+                features.append(own.tobytes())
+                lengths.append(sizes.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("is_toxic"), pa.array(features, pa.binary()), pa.array(lengths, pa.binary())],
+                ["doc_id", "is_toxic", "features", "lengths"],
+            )
+
+    return run
+
+
+def _blocks(rows: list[tuple]) -> list[Bags]:
+    """``rows`` of bytes as arrays of some ``_BLOCK`` features; it uses the rows up, so nothing is held twice."""
+    rows.reverse()
+    blocks = []
+    while rows:
+        features, lengths, size = [], [], 0
+        while rows and size < _BLOCK:
+            own, sizes = rows.pop()
+            features.append(np.frombuffer(own, np.int32))
+            size += len(features[-1])
+            lengths.append(np.frombuffer(sizes, np.int32))
+        blocks.append(Bags(np.concatenate(features), np.concatenate(lengths), np.array([len(x) for x in lengths], np.int32)))
+    return blocks
 
 
 def fit(
-    texts: list[str], labels: list[int], class_weight: tuple[float, float] = (1.0, 1.0), min_docs: int = MIN_DOCS,
+    names: list[str], blocks: list[Bags], labels: list[int], class_weight: tuple[float, float] = (1.0, 1.0),
     rounds: int = 120, rate: float = 0.1, sparsity: float = 3e-4, start: float = -6.0,
 ) -> ToxicityModel:
-    """Adam on the noisy-or likelihood of the document labels; ``sparsity`` shrinks weights that explain little to 0."""
+    """Adam on the noisy-or likelihood of the document labels; ``sparsity`` shrinks weights that explain little to 0.
+
+    ``labels`` are those of the documents in ``blocks``, in order, and ``names`` those of the numbered features.  Besides the blocks
+    (4 bytes a feature of a sentence) a round holds arrays of one block.
+    """
     y = np.array(labels, bool)
-    if not y.any() or y.all():  # one class only, or no rows: a constant
-        return ToxicityModel(bias=-12.0 if not y.any() else 0.0, weights={})
-    names, features, lengths, owners = _bags(texts, min_docs)
-    sentence = np.repeat(np.arange(len(lengths)), lengths)
     weight = np.where(y, class_weight[1], class_weight[0])
     weight = weight / weight.sum()
     theta = np.zeros(len(names) + 1)
     theta[-1] = start
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+    by_sentence = np.zeros(sum(len(block.lengths) for block in blocks))
     for step in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(sentence, theta[features], minlength=len(lengths))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_clean = np.bincount(owners, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
-        clean = np.exp(log_clean)
-        # d(-log likelihood)/dz: p for a clean document, -p * clean / (1 - clean) for a toxic one
-        pull = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0) * weight
-        by_sentence = p * pull[owners]
-        gradient = np.append(
-            np.bincount(features, by_sentence[sentence], minlength=len(names)), by_sentence.sum()
-        )
+        gradient = np.zeros_like(theta)
+        document = place = 0
+        for block in blocks:
+            here = slice(document, document := document + len(block.counts))
+            pulled = by_sentence[place:(place := place + len(block.lengths))]
+            sentence = np.repeat(np.arange(len(block.lengths)), block.lengths)
+            owners = np.repeat(np.arange(len(block.counts)), block.counts)
+            z = theta[-1] + np.bincount(sentence, theta[block.features], minlength=len(block.lengths))
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            log_clean = np.bincount(owners, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(block.counts))
+            clean = np.exp(log_clean)
+            # d(-log likelihood)/dz: p for a clean document, -p * clean / (1 - clean) for a toxic one
+            pull = np.where(y[here], -clean / np.maximum(1 - clean, 1e-9), 1.0) * weight[here]
+            pulled[:] = p * pull[owners]
+            np.add.at(gradient, block.features, pulled[sentence])
+        gradient[-1] = by_sentence.sum()
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         scale = rate / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
@@ -129,12 +178,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, **options
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, min_docs: int = MIN_DOCS, **options
 ) -> ToxicityModel:
     """Fit on labelled documents that are not held out.
 
     Of each class at most ``sample`` labelled ids are taken, in the order of a hash, so reruns agree.  An id with several labels
-    is toxic if one of them says so; missing labels and ids are skipped.
+    is toxic if one of them says so; missing labels and ids are skipped.  Only features of ``min_docs`` sampled documents count.
+    Tasks cut the sample into sentences and numbered features; the driver gets these, never a text.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("is_toxic"))
@@ -147,11 +197,24 @@ def train(
     # repeated rows of one id add nothing, and are left out of the sample
     rows = short.join(chosen, "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.max("is_toxic").alias("is_toxic")
-    ).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    labels_ = [r["is_toxic"] for r in rows]
-    clean, toxic = (totals.get(kind, 0) / max(1, labels_.count(kind)) for kind in (0, 1))
-    return fit([r["text"] for r in rows], labels_, (clean, toxic * TOXIC_WEIGHT), **options)
+    )
+    workspace = Workspace(docs.sparkSession)
+    rows = workspace.table(rows.repartition(_PIECES), "sample")
+    sampled = {r["is_toxic"]: r["n"] for r in rows.groupBy("is_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sampled) < 2:  # one class only, or no rows: a constant
+        workspace.close()
+        return ToxicityModel(bias=0.0 if 1 in sampled else -12.0, weights={})
+    counts = rows.select("text").mapInArrow(_document_counts, "feature string, n bigint")
+    frequent = counts.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("feature")
+    names = sorted(frequent.toArrow().column("feature").to_pylist())
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["is_toxic"], T.StructField("features", T.BinaryType()), T.StructField("lengths", T.BinaryType())])
+    numbered = workspace.table(rows.select("doc_id", "is_toxic", "text").mapInArrow(_number(names), schema), "bags")
+    bags = sorted(numbered.toLocalIterator(), key=lambda r: r["doc_id"])
+    workspace.close()
+    labels_ = [r["is_toxic"] for r in bags]
+    bags = [(r["features"], r["lengths"]) for r in bags]
+    clean, toxic = (totals.get(kind, 0) / sampled[kind] for kind in (0, 1))
+    return fit(names, _blocks(bags), labels_, (clean, toxic * TOXIC_WEIGHT), **options)
 
 
 def _score(model: ToxicityModel, offensive: float):
