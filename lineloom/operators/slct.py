@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from lineloom.functions.masking import WILDCARD
-from lineloom.functions.text import once
-from lineloom.operators.messages import with_tokens
+from lineloom.functions.masking import SEP, WILDCARD, marked_length
+from lineloom.operators.frequent import chunk_labels, describe, frequent_numbers
 from lineloom.operators.mining import Mining, label_clusters
 from lineloom.operators.words import word_lines
 from lineloom.plans.joins import compare_join, hot_keys, spread_join
@@ -25,37 +24,21 @@ def mine_slct(
     """
     ws = Workspace(messages.sparkSession)
     sigs = word_lines(messages, masks).groupBy("Signature").agg(F.count(F.lit(1)).alias("n"), F.min("LineId").alias("First"))
-    sigs = ws.table(sigs.withColumn("Hash", F.xxhash64("Signature")), "distinct-messages")
-    cells = with_tokens(sigs).select("First", "Hash", "n", F.size("Tokens").alias("Size"), F.posexplode("Tokens").alias("Pos", "Word"))
-    frequent = ws.table(
-        cells.groupBy("Pos", "Word").agg(F.sum("n").alias("Lines"), F.count(F.lit(1)).alias("Cells"))
-        .where(F.col("Lines") > support),
-        "frequent-words",
-    )
-    kept = spread_join(
-        cells, frequent.select("Pos", "Word"), ["Pos", "Word"], hot_keys(frequent, ["Pos", "Word"], "Cells"), "Hash",
-    )
-    # only frequent words come back to their message: at most one row per word of it; its other words are wildcards
-    words = kept.groupBy("First", "Hash", "n", "Size").agg(F.map_from_entries(F.collect_list(F.struct("Pos", "Word"))).alias("Words"))
-
-    def described_by(words):
-        every = F.sequence(F.lit(0), F.col("Size") - 1)
-        return F.transform(every, lambda i: F.coalesce(F.try_element_at(words, i), F.lit(WILDCARD)))
-
-    tokens = once(F.col("Words"), described_by).alias("Tokens")
-    described = words.select(F.col("Size").cast("string").alias("Bucket"), "First", "Hash", "n", tokens)
-    described = ws.table(described, "described")
+    sigs = sigs.select("Signature", "n", "First", F.xxhash64("Signature").alias("Hash"), marked_length(F.col("Signature")).alias("Size"))
+    sigs = ws.table(sigs.withColumn("Chunk", chunk_labels(F.col("Size"))), "distinct-messages", codec="zstd")
+    ws.sweep()
+    frequent = ws.table(frequent_numbers(sigs, support), "frequent-words")
+    ws.sweep()
+    described = ws.table(describe(sigs, frequent), "described")
+    ws.sweep()
+    scratch = Workspace(ws.spark)
+    candidates = ws.table(_candidates(sigs, described, support, scratch), "candidates")
+    scratch.close()
     ws.sweep()
-    candidates = (
-        described.groupBy("Bucket", "Tokens").agg(
-            F.sum("n").alias("n"), F.min("First").alias("ClusterId"), F.count(F.lit(1)).alias("Cells")
-        ).where(F.col("n") > support)
-    )
-    candidates = ws.table(candidates, "candidates")
     members = spread_join(
-        described, candidates.select("Bucket", "Tokens", "ClusterId"), ["Bucket", "Tokens"],
-        hot_keys(candidates, ["Bucket", "Tokens"], "Cells"), "Hash",
-    ).select("First", "Hash", "n", "ClusterId")
+        described.select("First", "Hash", "n", "Digest"), candidates.select("Digest", "ClusterId"), ["Digest"],
+        hot_keys(candidates, ["Digest"], "Cells"), "Hash",
+    )
     # the hash alone could collide
     members = sigs.select("First", "Hash", "Signature").join(members, ["First", "Hash"]).select("Signature", "n", "ClusterId")
     clusters = candidates.select("Bucket", "ClusterId", "Tokens")
@@ -66,6 +49,21 @@ def mine_slct(
     return Mining(members, ws.table(label_clusters(clusters, " "), "rendered"), "Signature")
 
 
+def _candidates(sigs: DataFrame, described: DataFrame, support: int, ws: Workspace) -> DataFrame:
+    """``Bucket, ClusterId, n, Cells, Digest, Tokens`` of every description of more than ``support`` lines; one of its messages lends the words."""
+    large = ws.table(
+        described.groupBy("Digest").agg(
+            F.sum("n").alias("n"), F.min("First").alias("ClusterId"), F.count(F.lit(1)).alias("Cells"), F.min("Hash").alias("Hash")
+        ).where(F.col("n") > support),
+        "large",
+    )
+    lenders = ws.table(described.select("Digest", "Hash", "First", "Size", "Keep").join(large, ["Digest", "Hash"]), "lenders").alias("l")
+    texts = sigs.select("Hash", "First", "Signature").alias("s")
+    same = (F.col("l.Hash") == F.col("s.Hash")) & F.col("l.First").eqNullSafe(F.col("s.First"))
+    words = F.zip_with(F.split("Signature", SEP), "Keep", lambda word, keep: F.when(keep, word).otherwise(WILDCARD))
+    return lenders.join(texts, same).select(F.col("Size").cast("string").alias("Bucket"), "ClusterId", "n", "Cells", "Digest", words.alias("Tokens"))
+
+
 def _most_general(candidates: DataFrame) -> DataFrame:
     """``ClusterId, Into``: the covering template with fewest constants (then most lines, then the oldest)."""
     mine = candidates.select("Bucket", F.col("ClusterId").alias("First"), "Tokens")

@@ -39,8 +39,8 @@ class Workspace:
         self._serial += 1
         return f"{self.root}/{self._serial:04d}-{name}"
 
-    def table(self, df: DataFrame, name: str, spread: str | None = None) -> DataFrame:
-        """Write ``df`` once and return the written table.
+    def table(self, df: DataFrame, name: str, spread: str | None = None, codec: str | None = None) -> DataFrame:
+        """Write ``df`` once and return the written table; ``codec`` is for one that stays long, where the session's packs less.
 
         ``spread`` names a key to deal the rows by.  It is for tables that feed comparisons: their work grows with
         the compared rows and not with their bytes, so files merged up to a common size would make long tasks.
@@ -48,7 +48,7 @@ class Workspace:
         if spread is not None:
             df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), spread)
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: DataFrame) -> None:

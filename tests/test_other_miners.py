@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lineloom.operators import earliest, spell
+from lineloom.operators import earliest, frequent, spell
 from lineloom.operators.drain import drain_lines, mine_drain
 from lineloom.operators.iplom import mine_iplom
 from lineloom.operators.matching import best_pairs
@@ -124,3 +124,29 @@ def test_slct_writes_a_message_once(spark, monkeypatch, tmp_path):
     # lines that share a number stay apart
     twice = df.withColumn("LineId", F.col("LineId") % 2)
     assert counts(mine_slct(twice, 20)) == {"send block <*> now": 30}
+
+
+def test_slct_in_chunks_and_blocks(spark, monkeypatch):
+    """Many chunks, blocks and pieces of a message give what one scan gives; lines without a frequent word, and a word that reads as a wildcard."""
+    monkeypatch.setattr(frequent, "CHUNK", 40)
+    monkeypatch.setattr(frequent, "_PIECE", 3)
+    rng = random.Random(5)
+    rows = [" ".join(rng.choice(["a", "b", "c", "<*>", f"n{i}"]) for _ in range(rng.choice((1, 2, 9)))) for i in range(600)] + [""] * 3
+    rows += ["<*>"] * 40 + ["<*> a"] * 5
+    words = collections.Counter((i, w) for row in rows for i, w in enumerate(row.split()))
+    support, described = 20, collections.Counter()
+    for row in rows:
+        if any(words[i, w] > support for i, w in enumerate(row.split())):
+            described[" ".join(w if words[i, w] > support else "<*>" for i, w in enumerate(row.split()))] += 1
+    want = {t: n for t, n in described.items() if n > support}
+    mining = mine_slct(messages(spark, rows), support)
+    assert counts(mining) == want and len(want) > 5
+    assert slct_outliers(messages(spark, rows), mining).count() == len(rows) - sum(want.values())
+
+
+def test_slct_asks_for_a_cell_once_a_chunk(spark):
+    """A cell that a chunk holds often is one number of its answer, and no row of its own."""
+    rows = messages(spark, [f"send block n{i} now" for i in range(500)]).coalesce(1)
+    sigs = rows.select(F.replace("Content", F.lit(" "), F.lit("\u0001")).alias("Signature"), F.lit(0).cast("bigint").alias("Chunk"))
+    answers = frequent.frequent_numbers(sigs.withColumns({"Size": F.lit(4), "n": F.lit(1).cast("bigint")}), 20).collect()
+    assert [(r.Chunk, len(r.Keys)) for r in answers] == [(0, 3 * 8)]
