@@ -81,6 +81,7 @@ def _most_general(candidates: DataFrame) -> DataFrame:
 
 
 def slct_outliers(messages: DataFrame, mining: Mining, masks: Sequence[str] = ()) -> DataFrame:
-    """Lines whose description is not frequent enough."""
-    lines = word_lines(messages, masks)
-    return lines.join(mining.members.select("Signature"), "Signature", "left_anti").select("LineId")
+    """Lines whose description is not frequent enough.  They meet the members by a digest of 32 bytes, not by their text."""
+    digest = F.unhex(F.sha2("Signature", 256)).alias("Digest")
+    lines = word_lines(messages, masks).select("LineId", digest)
+    return lines.join(mining.members.select(digest), "Digest", "left_anti").select("LineId")

@@ -150,3 +150,11 @@ def test_slct_asks_for_a_cell_once_a_chunk(spark):
     sigs = rows.select(F.replace("Content", F.lit(" "), F.lit("\u0001")).alias("Signature"), F.lit(0).cast("bigint").alias("Chunk"))
     answers = frequent.frequent_numbers(sigs.withColumns({"Size": F.lit(4), "n": F.lit(1).cast("bigint")}), 20).collect()
     assert [(r.Chunk, len(r.Keys)) for r in answers] == [(0, 3 * 8)]
+
+
+def test_outliers_meet_members_by_a_digest(spark):
+    df = messages(spark, [f"send block {i} now" for i in range(30)] + ["rare words here"])
+    found = slct_outliers(df, mine_slct(df, 20))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftAnti" in line]
+    assert joins and all("Digest" in line and "Signature" not in line for line in joins)
+    assert [r.LineId for r in found.collect()] == [30]
