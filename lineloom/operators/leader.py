@@ -7,11 +7,13 @@ joins it, any other becomes a leader.  The rounds of ``earliest`` give exactly t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from lineloom.functions.masking import SEP, WILDCARD, marked_to_tokens
 from lineloom.operators.earliest import find_earliest
 from lineloom.operators.matching import best_pairs, similar_pairs
 from lineloom.operators.messages import with_tokens
+from lineloom.operators.positional import differing_places, positional_pairs, task_groups
 from lineloom.plans.joins import hot_keys, spread_join
 from lineloom.workspace import Workspace
 
@@ -33,6 +35,9 @@ def find_leaders(sigs: DataFrame, method: str, st: float, n: int, ws: Workspace)
 
 
 def _earlier_pairs(rows: DataFrame, leaders: DataFrame, method: str, st: float, n: int, ws: Workspace) -> DataFrame:
+    ids = (rows.schema["First"].dataType, leaders.schema["ClusterId"].dataType)
+    if method == "seqDist" and ids == (LongType(), LongType()) and (groups := task_groups(leaders, st)):
+        return positional_pairs(rows.where(F.col("First").isNotNull()), leaders.where(F.col("ClusterId").isNotNull()), groups, st, earlier=True)
     many, few = with_tokens(rows).drop("Signature"), with_tokens(leaders).drop("Signature")
     return similar_pairs(many, few, method, st, n, extra=F.col("few.ClusterId") < F.col("many.First"), ws=ws)
 
@@ -59,13 +64,14 @@ def merged_tokens(message: Column, template: Column, delimiters: bool = True) ->
 
 
 def merge_template(members: DataFrame, delimiters: bool = True) -> DataFrame:
-    """D4 for whole clusters: ``(Bucket, ClusterId, Tokens, Last, n)`` from ``First, ClusterId, Tokens, Last, n``.
+    """D4 for whole clusters: ``(Bucket, ClusterId, Tokens, Last, n)`` from ``First, ClusterId, Tokens, Last, n`` (or ``Signature`` for ``Tokens``).
 
     The pairwise rule folded over all messages of a cluster depends only on two things: at which positions any
     message differs from the leader, and the newest message.  Only differing positions are exploded, and all
     aggregates are over integers.  Messages travel as marked strings, a third of their tokens.
     """
-    members = members.withColumn("Signature", F.array_join("Tokens", SEP)).drop("Tokens")
+    if "Tokens" in members.columns:
+        members = members.withColumn("Signature", F.array_join("Tokens", SEP)).drop("Tokens")
     leaders = members.where(F.col("First") == F.col("ClusterId")).select(
         "Bucket", "ClusterId", F.col("Signature").alias("Lead")
     )
@@ -76,20 +82,7 @@ def merge_template(members: DataFrame, delimiters: bool = True) -> DataFrame:
     followers = members.where(F.col("First") != F.col("ClusterId")).select("First", "ClusterId", "Signature")
     hot = hot_keys(newest, ["ClusterId"], "size", 10_000)
     varying = (
-        spread_join(followers, leaders.drop("Bucket"), ["ClusterId"], hot, "First")
-        .select("ClusterId", marked_to_tokens(F.col("Lead")).alias("Lead"), marked_to_tokens(F.col("Signature")).alias("Tokens"))
-        .select(
-            "ClusterId",
-            F.explode(
-                F.filter(
-                    F.transform(
-                        F.arrays_zip(F.col("Lead").alias("a"), F.col("Tokens").alias("b")),
-                        lambda pair, i: F.when(pair["a"] != pair["b"], i),
-                    ),
-                    lambda i: i.isNotNull(),
-                )
-            ).alias("Pos"),
-        )
+        differing_places(spread_join(followers, leaders.drop("Bucket"), ["ClusterId"], hot, "First"))
         .distinct()
         .groupBy("ClusterId").agg(F.collect_list("Pos").alias("Varying"))
     )
@@ -127,7 +120,7 @@ def mine_leaders(
     scratch.close()
     ws.drop(leaders)
     ws.sweep()
-    clusters = merge_template(with_tokens(members), delimiters)
+    clusters = merge_template(members, delimiters)
     mapping = members.select("First", "Signature", "n", "ClusterId")
     if refine:
         as_sigs = clusters.withColumnRenamed("ClusterId", "First").withColumn("Signature", F.array_join("Tokens", SEP))

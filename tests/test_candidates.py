@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineloom.functions.similarity import pair_similarity
-from lineloom.operators import candidates
+from lineloom.operators import candidates, positional
 from lineloom.operators.matching import similar_pairs
 from lineloom.workspace import Workspace
 
@@ -76,3 +76,37 @@ def test_blanks_come_last_and_lose_no_pair(spark, monkeypatch, method, st):
     if st == 0.5:  # a prefix that ends before the blanks asks for none
         first = candidates._items(left.where(F.array_contains("Tokens", "a")), "First", "seqDist", st)
         assert first.where("Blank AND Prefix <= Size").isEmpty()
+
+
+@pytest.mark.parametrize("st", [0.2, 0.5, 0.9, 1.0])
+def test_positional_pairs_are_the_compared_ones(spark, monkeypatch, st):
+    """Groups of buckets held by every task give the pairs of a plain comparison, with their scores."""
+    monkeypatch.setattr(positional, "LEAST", 0)
+    monkeypatch.setattr(positional, "MOST_TOKENS", 60)
+    monkeypatch.setattr(positional, "_STEP", 7)
+    rng = random.Random(7)
+
+    def side(count, key):
+        rows = [[rng.choice(["a", "b", " ", "  ", "<*>", f"c{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 4))] for _ in range(count)]
+        return [(str(len(x)), i, "\u0001".join(x)) for i, x in enumerate(rows)], f"Bucket string, {key} bigint, Signature string"
+
+    many, few = side(60, "First"), side(40, "ClusterId")
+    left, right = spark.createDataFrame(*many), spark.createDataFrame(*few)
+    groups = positional.task_groups(right, st)
+    assert len(groups) > 1 and sorted(b for g in groups for b in g) == sorted({b for b, _, _ in few[0]})
+    found = [(r.First, r.ClusterId, r.Score) for r in positional.positional_pairs(left, right, groups, st, earlier=True).collect()]
+    want = set()
+    for bucket, first, message in many[0]:
+        for other, cluster, template in few[0]:
+            tokens = list(zip(template.split("\u0001"), message.split("\u0001"))) if template else []
+            score = sum(t == m and t != "<*>" for t, m in tokens) / len(tokens) if tokens else 1.0
+            if bucket == other and cluster < first and score >= st:
+                want.add((first, cluster, score))
+    assert set(found) == want and len(found) == len(want) > 20
+
+
+def test_differing_places_come_once(spark):
+    rows = [(1, "a\u0001b\u0001c", "a\u0001x\u0001c"), (1, "a\u0001b\u0001c", "a\u0001y\u0001d"), (2, "", ""), (3, "a", "a"), (4, "p\u0001q", "r\u0001s")]
+    pairs = spark.createDataFrame(rows, "ClusterId bigint, Lead string, Signature string").coalesce(1)
+    found = [(r.ClusterId, r.Pos) for r in positional.differing_places(pairs).collect()]
+    assert sorted(found) == [(1, 1), (1, 2), (4, 0), (4, 1)]
