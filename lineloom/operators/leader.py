@@ -115,7 +115,7 @@ def mine_leaders(
     scratch = Workspace(ws.spark)
     choice = choose_leader(sigs, leaders, method, st, n, scratch)
     members = ws.table(
-        sigs.select("Bucket", "First", "Last", "n", "Signature").join(choice, "First"), "members", "First"
+        sigs.select("Bucket", "First", "Last", "n", "Signature").join(choice, "First"), "members", "First", codec="zstd"
     )
     scratch.close()
     ws.drop(leaders)

@@ -43,7 +43,7 @@ def mine_templates(
     mismatch, ``joint`` is put between the tokens of a rendered template.
     """
     ws = Workspace(lines.sparkSession)
-    sigs = ws.table(signature_table(lines), "signatures", "First")
+    sigs = ws.table(signature_table(lines), "signatures", "First", codec="zstd")
     if mode == "leader":
         mapping, clusters = mine_leaders(sigs, method, st, n, ws, refine, delimiters)
         ws.drop(sigs)

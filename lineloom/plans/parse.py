@@ -54,7 +54,7 @@ def parse_messages(
     # two passes follow, one over the signatures and one over whole lines; reading them back is far cheaper than
     # matching the header and mask patterns of every line twice
     ws = Workspace(messages.sparkSession)
-    lines = ws.table(partition_by_length(preprocess(messages, preset)), "lines")
+    lines = ws.table(partition_by_length(preprocess(messages, preset)), "lines", codec="zstd")
     mining = mine_templates(
         lines.select("LineId", "Bucket", "Signature"), preset.method, preset.st, preset.n, mode, refine, window
     )
